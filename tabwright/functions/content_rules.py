@@ -11,12 +11,14 @@ BLOCKED_EXTENSIONS = (
 )
 
 # Patterns of the content rules. "(?iU)" makes them case-blind and
-# Unicode-aware.
+# Unicode-aware; the leading look-ahead only rejects impossible starts quickly.
 SCRIPT_PATTERN = (
-    r"(?iU)<\s*script\b|javascript\s*:|\bonerror\s*=|\bonclick\s*="
-    r"|<\s*iframe\b|<\s*object\b|<\s*embed\b"
+    r"(?iU)(?=[<jo])(?:<\s*(?:script|iframe|object|embed)\b|javascript\s*:"
+    r"|\bon(?:error|click)\s*=)"
+)
+COMMAND_PATTERN = (
+    r"(?iU)(?=[cpbnw])\b(?:cmd\.exe|powershell|bash\s+-i|nc\s+-e|wget\s+|curl\s+)\b"
 )
-COMMAND_PATTERN = r"(?iU)\b(?:cmd\.exe|powershell|bash\s+-i|nc\s+-e|wget\s+|curl\s+)\b"
 URL_PATTERN = r"(?iU)https?://[^\s,]+"
 BASE64_PATTERN = r"(?U)\b[A-Za-z0-9+/]{80,}={0,2}\b"
 DANGEROUS_FORMULAS = r"cmd|hyperlink|webservice|importxml"

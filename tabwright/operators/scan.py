@@ -1,4 +1,4 @@
-"""Content risk scan: one record per document or file, no shuffle."""
+"""Content risk scan: one record per document or file."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import content_rules as rules
+from tabwright.plans.parallel import spread
 
 
 def _found(condition: Column, kind: str) -> Column:
@@ -13,90 +14,88 @@ def _found(condition: Column, kind: str) -> Column:
     return F.when(condition, F.struct(F.lit(text).alias("issue"), F.lit(score).alias("score")))
 
 
-def _text_findings(text: Column) -> Column:
-    formula = rules.formula_kind(text)
-    found = F.array(
-        _found(rules.has_long_line(text), "long_rows"),
-        _found(rules.has_script(text), "script"),
-        F.coalesce(
-            _found(formula == "dangerous_formula", "dangerous_formula"),
-            _found(formula == "formula", "formula"),
-        ),
-        _found(rules.has_command(text), "command"),
-        _found(rules.has_url(text), "url"),
-        _found(rules.has_base64_run(text), "base64"),
-    )
-    return F.array_compact(found)
-
-
-def scan_record(text: Column, name: Column | None = None, valid_utf8: Column | None = None) -> Column:
-    """Struct (status, issues, risk_score, recommended_action) for one unit of text.
+def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, valid: Column | None, file_hash: Column) -> DataFrame:
+    """Keys, status, issues, risk_score, recommended_action and file_hash per row.
 
-    Name, null-byte and encoding faults block the unit and stop the later checks.
+    Every rule is evaluated once into a flag column; name, null-byte and encoding
+    faults block the unit, and its later rules are not run.
     """
-    name_fault = rules.filename_issue(name) if name is not None else F.lit(None).cast("string")
-    no_fault = F.lit(None).cast("struct<issue:string,score:int>")
-    name_found = F.when(
-        name_fault.isNotNull(), F.struct(name_fault.alias("issue"), F.lit(100).alias("score"))
+    flags = df.select(*keys, text.alias("_text"), file_hash.alias("file_hash"),
+        (rules.filename_issue(name) if name is not None else F.lit(None).cast("string")).alias("_name"),
+        (valid if valid is not None else F.lit(True)).alias("_valid"),
+    ).withColumn("_null", rules.has_null_byte(F.col("_text")))
+    stopped = F.col("_name").isNotNull() | F.col("_null")
+    flags = flags.withColumn(
+        "_control", F.when(~stopped & F.col("_valid"), rules.unprintable_share(F.col("_text")) > rules.CONTROL_SHARE)
     )
-    null_found = _found(rules.has_null_byte(text), "null_bytes")
-    early = F.array_compact(F.array(name_found, null_found))
-    undecodable = (
-        _found(~valid_utf8, "not_utf8") if valid_utf8 is not None else no_fault
+    blocked = stopped | ~F.col("_valid") | F.coalesce("_control", F.lit(False))
+    flags = flags.withColumn("_blocked", blocked)
+    body = F.when(~F.col("_blocked"), F.col("_text"))
+    checked = flags.select(
+        *keys, "file_hash", "_name", "_valid", "_null", "_control", "_blocked",
+        rules.has_long_line(body).alias("_long"),
+        rules.has_script(body).alias("_script"),
+        rules.formula_kind(body).alias("_formula"),
+        rules.has_command(body).alias("_command"),
+        rules.has_url(body).alias("_url"),
+        rules.has_base64_run(body).alias("_base64"),
     )
-    control = _found(rules.unprintable_share(text) > rules.CONTROL_SHARE, "control")
-    decode = F.array_compact(F.array(F.coalesce(undecodable, control)))
-    blocking = F.when(F.size(early) > 0, early).otherwise(decode)
-    findings = F.when(F.size(blocking) > 0, blocking).otherwise(_text_findings(text))
-    return F.struct((F.size(blocking) > 0).alias("blocked"), findings.alias("found"))
-
-
-def _verdict(df: DataFrame, record: str = "_scan") -> DataFrame:
-    score = F.least(
-        F.lit(100), F.aggregate(f"{record}.found", F.lit(0), lambda total, f: total + f["score"])
+    named = F.when(
+        F.col("_name").isNotNull(), F.struct(F.col("_name").alias("issue"), F.lit(100).alias("score"))
+    )
+    early = F.col("_name").isNotNull() | F.col("_null")
+    found = F.array_compact(
+        F.array(
+            named,
+            _found(F.col("_null"), "null_bytes"),
+            F.when(~early, F.coalesce(_found(~F.col("_valid"), "not_utf8"), _found(F.col("_control"), "control"))),
+            _found(F.col("_long"), "long_rows"),
+            _found(F.col("_script"), "script"),
+            F.coalesce(
+                _found(F.col("_formula") == "dangerous_formula", "dangerous_formula"),
+                _found(F.col("_formula") == "formula", "formula"),
+            ),
+            _found(F.col("_command"), "command"),
+            _found(F.col("_url"), "url"),
+            _found(F.col("_base64"), "base64"),
+        )
+    )
+    scored = checked.select(*keys, "file_hash", "_blocked", found.alias("_found")).withColumn(
+        "risk_score",
+        F.least(F.lit(100), F.aggregate("_found", F.lit(0), lambda total, f: total + f["score"])),
     )
-    scored = df.withColumn("_score", score)
     status = (
-        F.when(F.col(f"{record}.blocked") | (F.col("_score") >= rules.BLOCK_SCORE), "blocked")
-        .when(F.size(f"{record}.found") > 0, "warning")
+        F.when(F.col("_blocked") | (F.col("risk_score") >= rules.BLOCK_SCORE), "blocked")
+        .when(F.size("_found") > 0, "warning")
         .otherwise("safe")
     )
     advice = F.create_map(*(F.lit(x) for pair in rules.ADVICE.items() for x in pair))
-    return (
-        scored.withColumn("status", status)
-        .withColumn("issues", F.col(f"{record}.found.issue"))
-        .withColumn("risk_score", F.col("_score"))
-        .withColumn("recommended_action", F.element_at(advice, F.col("status")))
-        .drop("_score", record)
+    return scored.withColumn("status", status).select(
+        *keys,
+        "status",
+        F.col("_found.issue").alias("issues"),
+        "risk_score",
+        F.element_at(advice, F.col("status")).alias("recommended_action"),
+        "file_hash",
     )
 
 
 def scan_texts(df: DataFrame, keys: list[str], text: Column, name: Column | None = None) -> DataFrame:
     """Scan one text per row: keys, status, issues, risk_score, action, file_hash."""
-    scanned = df.select(
-        *keys,
-        scan_record(text, name).alias("_scan"),
-        F.sha2(text.cast("binary"), 256).alias("file_hash"),
-    )
-    return _verdict(scanned).select(
-        *keys, "status", "issues", "risk_score", "recommended_action", "file_hash"
+    extra = [] if name is None else [name.alias("_scan_name")]
+    narrow = spread(df.select(*keys, text.alias("_scan_text"), *extra))
+    body = F.col("_scan_text")
+    return _scan(
+        narrow, keys, body, F.col("_scan_name") if extra else None, None, F.sha2(body.cast("binary"), 256)
     )
 
 
 def scan_files(files: DataFrame) -> DataFrame:
     """Scan a ``binaryFile`` listing: bytes are checked before they are read as text."""
     raw = F.col("content").cast("string")
-    valid = F.is_valid_utf8(raw)
     text = F.regexp_replace(F.make_valid_utf8(raw), r"^\uFEFF", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    scanned = files.select(
-        "path",
-        scan_record(text, name, valid).alias("_scan"),
-        F.sha2("content", 256).alias("file_hash"),
-    )
-    return _verdict(scanned).select(
-        "path", "status", "issues", "risk_score", "recommended_action", "file_hash"
-    )
+    return _scan(files, ["path"], text, name, F.is_valid_utf8(raw), F.sha2("content", 256))
 
 
 def latest_scan(scans: DataFrame, file: str, scanned_at: str, tie: str) -> DataFrame:
