@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -144,14 +143,34 @@ def _svm(split: Split, options: dict) -> DataFrame:
         return scaled.select("idx", "label", "y", array_to_vector(fourier(vector_to_array("scaled"))).alias("features"))
 
     train, test = lifted(split.train).persist(), lifted(split.test)
-    base = LinearSVC(maxIter=options.get("max_iter", 50), regParam=1.0 / split.train_rows, standardization=False)
-    machine = OneVsRest(classifier=base, labelCol="y", featuresCol="features", rawPredictionCol="margins").fit(train)
-    platt = LogisticRegression(featuresCol="margins", labelCol="y", maxIter=100, predictionCol="_p", rawPredictionCol="_r")
-    calibrated = platt.fit(machine.transform(train).select("y", "margins"))
-    return calibrated.transform(machine.transform(test)).select(
+    # One machine per class, a single one for two classes.
+    targets = [1] if len(split.classes) == 2 else list(range(len(split.classes)))
+    machines = []
+    for c in targets:
+        machine = LinearSVC(
+            labelCol="one", rawPredictionCol=f"raw{c}", predictionCol=f"side{c}",
+            maxIter=options.get("max_iter", 50), regParam=1.0 / split.train_rows, standardization=False,
+        )
+        machines.append(machine.fit(train.withColumn("one", (F.col("y") == c).cast("double"))))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        for machine in machines:
+            rows = machine.transform(rows)
+        margins = F.array(*(vector_to_array(f"raw{c}")[1] for c in targets))
+        return rows.select("idx", "label", "y", margins.alias("m")).withColumn("margins", array_to_vector("m"))
+
+    platt = LogisticRegression(
+        featuresCol="margins", labelCol="y", maxIter=100, predictionCol="_p", rawPredictionCol="_r"
+    ).fit(judged(train))
+    best = (
+        (F.get("m", F.lit(0)) > 0).cast("int")
+        if len(targets) == 1
+        else F.array_position("m", F.array_max("m")).cast("int") - 1
+    )
+    return platt.transform(judged(test)).select(
         "idx",
         F.col("label").alias("actual"),
-        _named(split.classes, F.col("prediction")).alias("predicted"),
+        _named(split.classes, best).alias("predicted"),
         F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"),
     )
 
