@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             configured = tempfile.mkdtemp(prefix="tabwright-ckpt-")
         sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that every executor can reach, below ``spark.checkpoint.dir``.
+
+    A machine-local temporary folder is used only on a local master.
+    """
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        return tempfile.mkdtemp(prefix=f"tabwright-{name}-")
+    return f"{configured.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -18,6 +18,7 @@ def windowed_metrics(
     On a stream, events older than the watermark are dropped and state is kept
     only for open windows.
     """
+    events = events.withColumn(at, F.col(at).cast("timestamp"))
     source = events.withWatermark(at, late) if events.isStreaming else events
     return (
         source.groupBy(F.window(at, window).alias("w"), key.alias("key"))
@@ -29,7 +30,8 @@ def windowed_metrics(
 def dedup_on_arrival(files: DataFrame, at: str, file_hash: str = "file_hash", late: str = "1 hour") -> DataFrame:
     """The first arrival of each content hash within the watermark."""
     if files.isStreaming:
-        return files.withWatermark(at, late).dropDuplicatesWithinWatermark([file_hash])
+        timed = files.withColumn(at, F.col(at).cast("timestamp"))
+        return timed.withWatermark(at, late).dropDuplicatesWithinWatermark([file_hash])
     return files.dropDuplicates([file_hash])
 
 
