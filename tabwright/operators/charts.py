@@ -24,35 +24,28 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS) ->
     A constant column gives one bin. The value ranges are a scalar subquery, so
     the second scan has nothing to join; only (column, bin) counts are shuffled.
     """
-    values = {c: cells.number_of(cells.field_of(df, c)) for c in columns}
-    ranges = df.agg(
+    narrow = df.select(*(cells.number_of(cells.field_of(df, c)).alias(f"v{i}") for i, c in enumerate(columns)))
+    axes = range(len(columns))
+    ranges = narrow.agg(
         F.struct(
-            *(
-                F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(f"r{i}")
-                for i, v in enumerate(values.values())
-            )
+            F.array(*(F.min(f"v{i}") for i in axes)).alias("lo"), F.array(*(F.max(f"v{i}") for i in axes)).alias("hi")
         )
     ).scalar()
-    entries, axes = [], []
-    for i, (name, value) in enumerate(values.items()):
-        lo, hi = ranges[f"r{i}"]["lo"], ranges[f"r{i}"]["hi"]
-        width = (hi - lo) / bins
-        index = F.when(lo == hi, F.lit(0)).otherwise(
-            F.least(F.floor((value - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-        )
-        entries.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(F.lit(name).alias("column"), index.cast("int").alias("bin")),
-            )
-        )
-        axes.append(F.struct(F.lit(name).alias("column"), lo.alias("lo"), hi.alias("hi")))
+    entries = [F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in axes]
+    long = narrow.select(F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
+    lo, hi = F.get(ranges["lo"], F.col("c")), F.get(ranges["hi"], F.col("c"))
+    scaled = (F.col("v") - lo) / F.nullif((hi - lo) / bins, F.lit(0.0))
+    index = F.when(hi > lo, F.least(F.floor(scaled), F.lit(bins - 1))).otherwise(0).cast("int")
+    name = F.get(F.array(*(F.lit(c) for c in columns)), F.col("c"))
     counts = (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .select("e.*")
-        .groupBy("column", "bin")
+        long.groupBy("c", index.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
+        .select(name.alias("column"), "bin", "count")
     )
+    axes = [
+        F.struct(F.lit(c).alias("column"), F.get(ranges["lo"], F.lit(i)).alias("lo"), F.get(ranges["hi"], F.lit(i)).alias("hi"))
+        for i, c in enumerate(columns)
+    ]
     axis = (
         df.sparkSession.range(1)
         .select(F.inline(F.array(*axes)))

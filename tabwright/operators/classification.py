@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -279,20 +280,22 @@ def run_classification(
     classes = sorted(sizes)
     index = F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")) - 1
     rows = prepared.rows.withColumn("y", index.cast("double"))
-    marked = split_rows(rows, ["idx"], test_size, seed, prepared.n, sizes, "label")
-    counts = marked.agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train")).first()
-    if counts["train"] < 2 or counts["test"] < 1:
+    marked = split_rows(rows, ["idx"], test_size, seed, prepared.n, sizes, "label").persist()
+    # The split is exact, so its sizes are known without a job.
+    test_rows = ceil(prepared.n * test_size)
+    train_rows = prepared.n - test_rows
+    if train_rows < 2 or test_rows < 1:
         raise ValueError("Not enough rows for train/test split")
     split = Split(
-        marked.filter("NOT is_test").drop("is_test").persist(), marked.filter("is_test").drop("is_test"),
-        counts["train"], len(prepared.names), classes,
+        marked.filter("NOT is_test").drop("is_test"), marked.filter("is_test").drop("is_test"),
+        train_rows, len(prepared.names), classes,
     )
     predictions = ALGORITHMS[algorithm].run(split, options or {})
     pairs = pair_counts(predictions)
     metrics = classification_metrics(pairs).select(
         F.lit(algorithm).alias("algorithm"),
-        F.lit(counts["train"]).cast("bigint").alias("train_rows"),
-        F.lit(counts["test"]).cast("bigint").alias("test_rows"),
+        F.lit(train_rows).cast("bigint").alias("train_rows"),
+        F.lit(test_rows).cast("bigint").alias("test_rows"),
         "accuracy", "precision", "recall", "f1",
     )
     shown = len(classes) <= MAX_DISPLAY_CLASSES

@@ -56,34 +56,40 @@ def prepare(
     that for all features, counts the rows and checks the target.
     """
     check_columns(df, features, target)
-    texts = [cells.text_of(cells.field_of(df, c)).alias(f"t{i}") for i, c in enumerate(features)]
-    numbers = [cells.number_of(cells.field_of(df, c)).alias(f"n{i}") for i, c in enumerate(features)]
+    fields = [cells.field_of(df, c) for c in features]
+    typed = [cells.is_numeric_field(f) for f in fields]
+    # A typed number needs no text form: it is present when it is not NULL.
+    texts = [cells.text_of(f).alias(f"t{i}") for i, f in enumerate(fields) if not typed[i]]
+    numbers = [cells.number_of(f).alias(f"n{i}") for i, f in enumerate(fields)]
     chosen = [F.col(order_by).cast("bigint").alias("idx"), *texts, *numbers]
+    bad = F.lit(False)
     if target is not None:
         field = cells.field_of(df, target)
         chosen.append(cells.text_of(field).alias("label"))
         if target_kind == "number":
             chosen.append(cells.number_of(field).alias("target"))
+            bad = F.col("target").isNull()
     table = df.select(*chosen)
     if target is not None:
         table = table.filter(F.col("label").isNotNull())
-        if target_kind == "number":
-            bad = table.agg(F.count_if(F.col("target").isNull())).first()[0]
-            if bad:
-                raise ValueError(f"Target column must be numeric: {target}")
     complete = F.lit(True)
     for i in range(len(features)):
-        complete = complete & F.col(f"t{i}").isNotNull()
-    kept = table.filter(complete)
-    facts = kept.agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.every(F.col(f"n{i}").isNotNull()).alias(f"num{i}") for i in range(len(features))),
-        *(F.approx_count_distinct(f"t{i}").alias(f"dis{i}") for i in range(len(features))),
+        complete = complete & F.col(f"n{i}" if typed[i] else f"t{i}").isNotNull()
+    texts_at = [i for i in range(len(features)) if not typed[i]]
+    facts = table.agg(
+        F.count_if(bad).alias("bad"),
+        F.count_if(complete).alias("n"),
+        *(F.every(F.when(complete, F.col(f"n{i}").isNotNull())).alias(f"num{i}") for i in texts_at),
+        *(F.approx_count_distinct(F.when(complete, F.col(f"t{i}"))).alias(f"dis{i}") for i in texts_at),
     ).first()
+    if facts["bad"]:
+        raise ValueError(f"Target column must be numeric: {target}")
     if facts["n"] < minimum:
         raise ValueError(f"Need at least {minimum} complete rows")
-    numeric = [i for i in range(len(features)) if facts[f"num{i}"]]
-    categorical = [i for i in range(len(features)) if not facts[f"num{i}"]]
+    kept = table.filter(complete)
+    is_number = [typed[i] or facts[f"num{i}"] for i in range(len(features))]
+    numeric = [i for i in range(len(features)) if is_number[i]]
+    categorical = [i for i in range(len(features)) if not is_number[i]]
     for i in categorical:
         if facts[f"dis{i}"] > MAX_CATEGORIES:
             raise ValueError(f"Too many categories for one-hot encoding: {features[i]}")

@@ -59,16 +59,6 @@ def _brackets(values: dict[str, Column], df: DataFrame, fractions: list[float])
     return found
 
 
-def _segment(value: Column, bracket: Bracket) -> Column:
-    """Monotone segment number: odd inside a bracket, even between brackets."""
-    segment: Column | None = None
-    for i, (low, high) in enumerate(zip(bracket.lows, bracket.highs)):
-        below = value < F.lit(low)
-        segment = F.when(below, 2 * i) if segment is None else segment.when(below, 2 * i)
-        segment = segment.when(value <= F.lit(high), 2 * i + 1)
-    return segment.otherwise(2 * len(bracket.lows))
-
-
 def order_statistics(
     df: DataFrame, values: dict[str, Column], ranks, fractions: list[float]
 ) -> DataFrame:
@@ -78,6 +68,8 @@ def order_statistics(
     ``fractions`` the quantile positions those ranks lie next to.
     """
     spark = df.sparkSession
+    df = df.select(*(v.alias(f"v{i}") for i, v in enumerate(values.values())))
+    values = {name: F.col(f"v{i}") for i, name in enumerate(values)}
     brackets = _brackets(values, df, fractions)
     schema = "column string, n bigint, rank bigint, value double"
     if not brackets:
@@ -85,40 +77,41 @@ def order_statistics(
     wanted = [(c, b.n, int(r)) for c, b in brackets.items() for r in sorted(set(ranks(b.n)))]
     targets = spark.createDataFrame(wanted, "column string, n bigint, rank bigint")
 
-    entries = []
-    for name, bracket in brackets.items():
-        value = values[name]
-        segment = _segment(value, bracket)
-        inside = segment % 2 == 1
-        span: Column | None = None
-        for i, (low, high) in enumerate(zip(bracket.lows, bracket.highs)):
-            width = (high - low) / CELLS
-            cell = (
-                F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(CELLS - 1))
-                if width > 0 and width == width and width != float("inf")
-                else F.lit(0).cast("bigint")
-            )
-            span = (
-                F.when(segment == 2 * i + 1, cell)
-                if span is None
-                else span.when(segment == 2 * i + 1, cell)
-            )
-        entries.append(
-            F.when(
-                value.isNotNull(),
-                F.struct(
-                    F.lit(name).alias("column"),
-                    segment.alias("segment"),
-                    F.coalesce(span, F.lit(0)).alias("cell"),
-                    F.when(inside, value).alias("value"),
-                ),
-            )
-        )
+    names = list(brackets)
+    entries = [F.struct(F.lit(c).alias("c"), values[name].alias("value")) for c, name in enumerate(names)]
+    long = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+
+    def known(numbers: list[float]) -> Column:
+        """The entry of a per-column constant list for the current row's column."""
+        return F.get(F.array(*(F.lit(float(x)) for x in numbers)), F.col("c"))
+
+    # Monotone segment number: odd inside a bracket, even between brackets.
+    value, segment = F.col("value"), None
+    for i in range(len(fractions)):
+        below = value < known([b.lows[i] for b in brackets.values()])
+        segment = F.when(below, 2 * i) if segment is None else segment.when(below, 2 * i)
+        segment = segment.when(value <= known([b.highs[i] for b in brackets.values()]), 2 * i + 1)
+    placed = long.withColumn("segment", segment.otherwise(2 * len(fractions)))
+    cell = None
+    for i in range(len(fractions)):
+        widths = [(b.highs[i] - b.lows[i]) / CELLS for b in brackets.values()]
+        usable = [w if 0 < w < float("inf") else float("inf") for w in widths]
+        offset = (value - known([b.lows[i] for b in brackets.values()])) / known(usable)
+        own = F.least(F.floor(offset), F.lit(CELLS - 1))
+        at = F.col("segment") == 2 * i + 1
+        cell = F.when(at, own) if cell is None else cell.when(at, own)
+    inside = F.col("segment") % 2 == 1
     counted = (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .select("e.*")
-        .groupBy("column", "segment", "cell", "value")
+        placed.select(
+            "c",
+            "segment",
+            F.coalesce(cell, F.lit(0).cast("bigint")).alias("cell"),
+            F.when(inside, value).alias("value"),
+        )
+        .groupBy("c", "segment", "cell", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("column", F.get(F.array(*(F.lit(n) for n in names)), F.col("c")))
+        .drop("c")
     )
     before = Window.partitionBy("column").orderBy("segment", "cell").rowsBetween(
         Window.unboundedPreceding, -1

@@ -80,6 +80,12 @@ def positions_by_range(
     )
 
 
+def file_order(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file scan 0, 1, ... in scan order."""
+    tagged = df.withColumn("_seq", F.monotonically_increasing_id())
+    return positions_by_range(tagged, ["_seq"], name=name).drop("_seq")
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right.select(
         *(F.col(k).alias(f"_r_{k}") for k in keys),

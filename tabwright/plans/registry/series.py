@@ -37,13 +37,6 @@ def daily_types(spark, folder):
     return days.withColumn("k", order)
 
 
-def _tagged_lines(spark, folder):
-    """Line items with a unique number for file order."""
-    lines = table(spark, folder, "lineitem")
-    order = [c for c in lines.columns]
-    return positions_by_range(lines, order, name="line_no")
-
-
 def _stream_windows(spark, folder):
     """The hourly metrics of the event stream, run to the end into a parquet sink."""
     from tabwright.session import shared_folder

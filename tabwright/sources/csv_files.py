@@ -83,14 +83,15 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True, widen: bool
         fields = ", ".join(f"`{n}` string" for n in names) + (", _bad string" if corrupt else "")
         reader = _reader(spark, multiline).option("header", True).option("enforceSchema", True)
         if corrupt:
-            reader = reader.option("columnNameOfCorruptRecord", "_bad")
+            reader = reader.option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False)
         return reader.schema(fields).csv(path)
 
     if widen:
         # Records that do not fit the header carry their raw text in _bad.
         wide = rows(base, True).filter(F.col("_bad").isNotNull())
         blank = F.replace(F.trim(F.col("_bad"), F.lit(cells.WHITESPACE)), F.lit(",")) == ""
-        width = wide.filter(~blank).agg(F.max(_record_width(F.col("_bad")))).first()[0] or 0
+        # Spark refuses to read the raw-text column alone, hence the count.
+        width = wide.filter(~blank).agg(F.max(_record_width(F.col("_bad"))), F.count("c0")).first()[0] or 0
         if width > len(headers):
             warnings.append(RAGGED_WARNING)
             headers = headers + [f"item_{i + 1}" for i in range(width - len(headers))]
