@@ -42,21 +42,32 @@ def _local_nearest(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> pd.Data
     return pd.concat(parts)
 
 
-def _match(queries: DataFrame, base: DataFrame, facts: blocks.Cells, piece_count: int, k: int) -> DataFrame:
-    """Compare query pieces with every chunk of their cell; local k nearest each."""
-    chunks = F.array(*(F.lit(int(c)) for c in facts.chunks))
+def _match(queries: DataFrame, base: DataFrame, facts: blocks.Cells, k: int) -> DataFrame:
+    """Compare query pieces with every chunk of their cell; local k nearest each.
+
+    ``queries`` is materialised. A cell is cut into as many query pieces as its own
+    number of queries asks for, so a hot cell does not multiply the others.
+    """
+    asked = np.zeros(len(facts.pivots), dtype=int)
+    for row in queries.groupBy("cell").count().collect():
+        asked[row["cell"]] = row["count"]
+    pieces = np.maximum(1, -(-asked // QUERY_CHUNK))
+
+    def of_cell(numbers):
+        return F.element_at(F.array(*(F.lit(int(x)) for x in numbers)), F.col("cell") + 1)
+
     spread = queries.select(
         "idx", "vec", "cell",
-        F.pmod(F.xxhash64("idx"), F.lit(piece_count)).cast("int").alias("piece"),
-        F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("cell") + 1) - 1)).alias("chunk"),
+        F.pmod(F.xxhash64("idx"), of_cell(pieces).cast("bigint")).cast("int").alias("piece"),
+        F.explode(F.sequence(F.lit(0), of_cell(facts.chunks) - 1)).alias("chunk"),
     )
-    pieces = base.select(
-        "idx", "vec", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.lit(piece_count - 1))).alias("piece")
+    copies = base.filter(of_cell(asked) > 0).select(
+        "idx", "vec", "cell", "chunk", F.explode(F.sequence(F.lit(0), of_cell(pieces) - 1)).alias("piece")
     ).toDF("idx", "vec", "r_cell", "r_chunk", "r_piece")
     key = ["cell", "chunk", "piece"]
     return (
         spread.groupBy(*key)
-        .cogroup(pieces.groupBy(*(f"r_{c}" for c in key)))
+        .cogroup(copies.groupBy(*(f"r_{c}" for c in key)))
         .applyInPandas(lambda q, b: _local_nearest(q, b, k), _FOUND)
     )
 
@@ -73,18 +84,15 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     """
     base = cut_lineage(base.select("idx", F.col("vec").cast("array<double>").alias("vec")))
     queries = cut_lineage(queries.select("idx", F.col("vec").cast("array<double>").alias("vec")))
-    total, asked = base.count(), queries.count()
-    if not total or not asked:
+    total = base.count()
+    if not total or queries.isEmpty():
         return queries.sparkSession.createDataFrame([], _FOUND + ", rank int")
     pivots = blocks.choose_pivots(base, total)
     placed = blocks.assign_cells(base, pivots)
     facts = blocks.cell_facts(placed, pivots)
     placed = blocks.with_chunk(placed, facts).select("idx", "vec", "cell", "chunk")
-    homes = blocks.assign_cells(queries, pivots)
-    piece_count = max(1, -(-asked // (QUERY_CHUNK * len(pivots))))
-    hottest = homes.groupBy("cell").count().agg(F.max("count")).first()[0]
-    piece_count = max(piece_count, -(-hottest // QUERY_CHUNK))
-    inside = cut_lineage(_closest(_match(homes, placed, facts, piece_count, k), k))
+    homes = cut_lineage(blocks.assign_cells(queries, pivots))
+    inside = cut_lineage(_closest(_match(homes, placed, facts, k), k))
     if len(pivots) == 1:
         return inside
     limits = inside.groupBy("query").agg(
@@ -105,8 +113,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
             row, cell = np.nonzero(open_cell)
             yield pd.DataFrame({"idx": batch["idx"].to_numpy()[row], "vec": batch["vec"].to_numpy()[row], "cell": cell})
 
-    outside = asked_again.mapInPandas(candidates, "idx bigint, vec array<double>, cell int")
-    more = _match(outside, placed, facts, piece_count, k)
+    outside = cut_lineage(asked_again.mapInPandas(candidates, "idx bigint, vec array<double>, cell int"))
+    more = _match(outside, placed, facts, k)
     return _closest(inside.drop("rank").unionByName(more), k)
 
 

@@ -1,22 +1,25 @@
 """Exact-size, seeded train/test split without a global sort.
 
 Every row gets a uniform hash of its content and seed. The cut point is found on
-a bounded histogram of hash prefixes (at most BUCKETS rows per class); only the
-one prefix bucket the cut falls into is ranked.
+a histogram of hash prefixes whose length follows the table size; only the one
+prefix bucket per class the cut falls into, some BUCKET_ROWS rows, is ranked.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 12
+BUCKET_ROWS = 100_000
+MAX_PREFIX_BITS = 24
 
 
-def _bucket(row_hash: Column) -> Column:
-    return F.shiftright(row_hash, 52) + F.lit(BUCKETS // 2)
+def _bucket(row_hash: Column, total: int) -> Column:
+    """The leading hash bits, as many as keep a bucket near BUCKET_ROWS rows."""
+    bits = min(MAX_PREFIX_BITS, max(0, ceil(log2(max(total, 1) / BUCKET_ROWS))))
+    return F.shiftrightunsigned(row_hash, 64 - bits) if bits else F.lit(0).cast("bigint")
 
 
 def stratifiable(class_sizes: dict[str, int], test_size: float) -> bool:
@@ -44,17 +47,18 @@ def mark_test_rows(
     identity: list[str],
     test_rows: dict[str, int] | int,
     seed: int,
+    total: int,
     label: str | None = None,
     name: str = "is_test",
 ) -> DataFrame:
     """Add a boolean column that is true on exactly the wanted number of rows.
 
     ``identity`` names the columns that tell rows apart; ``test_rows`` is a count,
-    or a count per class of ``label``.
+    or a count per class of ``label``; ``total`` is the number of rows.
     """
     spark = df.sparkSession
     hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *(F.col(c) for c in identity)))
-    hashed = hashed.withColumn("_bucket", _bucket(F.col("_hash")))
+    hashed = hashed.withColumn("_bucket", _bucket(F.col("_hash"), total))
     stratum = F.col(label).cast("string") if label else F.lit("")
     hashed = hashed.withColumn("_stratum", stratum)
     wanted = test_rows if isinstance(test_rows, dict) else {"": test_rows}
@@ -104,5 +108,5 @@ def split_rows(
     """Mark ceil(total * test_size) test rows, stratified by ``label`` when possible."""
     test_rows = ceil(total * test_size)
     if class_sizes and stratifiable(class_sizes, test_size):
-        return mark_test_rows(df, identity, allocate(class_sizes, test_rows), seed, label)
-    return mark_test_rows(df, identity, test_rows, seed)
+        return mark_test_rows(df, identity, allocate(class_sizes, test_rows), seed, total, label)
+    return mark_test_rows(df, identity, test_rows, seed, total)

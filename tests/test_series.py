@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import forecast as fc
 from tabwright.operators import plugins, similarity
-from tabwright.plans import blocks
+from tabwright.plans import blocks, split
 from tabwright.plans.ordering import positions_by_label, positions_by_range, with_lags
 from tabwright.plans.split import allocate, mark_test_rows, split_rows, stratifiable
 
@@ -94,7 +94,9 @@ def test_positions_and_lags_with_hot_label(spark):
     assert all(r["l"] == (r["id"] - 6 if r["p"] >= 3 else None) for r in lagged.collect()) and lagged.count() == 100
 
 
-def test_split(spark):
+@pytest.mark.parametrize("bucket_rows", [100_000, 10])
+def test_split(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(split, "BUCKET_ROWS", bucket_rows)
     rows = spark.range(1000).withColumn("c", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
     sizes = {"a": 334, "b": 666}
     got = split_rows(rows, ["id"], 0.2, 1, 1000, sizes, "c")
@@ -105,7 +107,7 @@ def test_split(spark):
     assert pick(got) == pick(again) != pick(split_rows(rows, ["id"], 0.2, 2, 1000, sizes, "c"))
     assert not stratifiable({"a": 1, "b": 9}, 0.3) and not stratifiable({"a": 9}, 0.3) and stratifiable({"a": 5, "b": 5}, 0.3)
     assert allocate({"a": 5, "b": 6}, 3) == {"a": 1, "b": 2}
-    assert mark_test_rows(rows, ["id"], 0, 1).filter("is_test").count() == 0
+    assert mark_test_rows(rows, ["id"], 0, 1, 1000).filter("is_test").count() == 0
 
 
 @pytest.fixture(scope="module")
