@@ -72,6 +72,8 @@ def prepare(
     table = df.select(*chosen)
     if target is not None:
         table = table.filter(F.col("label").isNotNull())
+    # The narrow projection feeds the facts, the encoders and the fit.
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     complete = F.lit(True)
     for i in range(len(features)):
         complete = complete & F.col(f"n{i}" if typed[i] else f"t{i}").isNotNull()
@@ -122,7 +124,7 @@ def prepare(
         out.append("label")
         if target_kind == "number":
             out.append("target")
-    rows = model.transform(kept).select(*out).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = model.transform(kept).select(*out)
     return Prepared(rows, names, [features[i] for i in numeric], [features[i] for i in categorical], facts["n"])
 
 

@@ -74,26 +74,25 @@ def mark_test_rows(
         .withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .join(quota, "_stratum")
     )
-    # One cut bucket per class: rows below it are test, rows above are train.
+    # One cut bucket per class; its rows are ranked to find the last test row.
+    at_cut = F.max(F.when(F.col("_offset") < F.col("_quota"), F.struct("_bucket", "_offset")))
     cuts = F.broadcast(
-        offsets.groupBy("_stratum").agg(
-            F.max(F.when(F.col("_offset") < F.col("_quota"), F.col("_bucket"))).alias("_cut"),
-            F.max(F.when(F.col("_offset") < F.col("_quota"), F.struct("_bucket", "_offset")))["_offset"].alias("_base"),
-            F.max("_quota").alias("_quota"),
-        )
+        offsets.groupBy("_stratum")
+        .agg(at_cut.alias("_at"), F.max("_quota").alias("_quota"))
+        .select("_stratum", F.col("_at._bucket").alias("_bucket"), (F.col("_quota") - F.col("_at._offset")).alias("_take"))
     )
-    joined = hashed.join(cuts, "_stratum", "left")
-    at_cut = F.col("_bucket") == F.col("_cut")
-    ranked = (
-        joined.filter(at_cut)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_stratum").orderBy("_hash", *identity)))
-        .withColumn(name, F.col("_rank") <= F.col("_quota") - F.col("_base"))
-        .drop("_rank")
+    order = ["_bucket", "_hash", *identity]
+    ranked = hashed.select("_stratum", *order).join(cuts, ["_stratum", "_bucket"]).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_stratum").orderBy(*order))
     )
-    rest = joined.filter(~F.coalesce(at_cut, F.lit(False))).withColumn(
-        name, F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
+    last = ranked.filter(F.col("_rank") == F.col("_take")).select("_stratum", F.struct(*order).alias("_last"))
+    # One row per class, so the marking itself is a map-side comparison.
+    limits = spark.createDataFrame(last.collect(), last.schema)
+    return (
+        hashed.join(F.broadcast(limits), "_stratum", "left")
+        .withColumn(name, F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False)))
+        .drop("_hash", "_bucket", "_stratum", "_last")
     )
-    return ranked.unionByName(rest).drop("_hash", "_bucket", "_stratum", "_cut", "_base", "_quota")
 
 
 def split_rows(
