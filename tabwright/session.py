@@ -39,9 +39,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; a machine-local one is
     chosen only when the master itself is local.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
@@ -55,7 +56,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     A machine-local temporary folder is used only on a local master.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
