@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, line_spread
+from tabwright.llm import bpe, exact_dedup, line_spread, topk
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def tokenizer_spec(name: str) -> str:
+    """A public tokenizer's JSON file, read on the driver; operators take its content and broadcast it."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
 def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without its cross-site lines."""
     cut = line_spread.cut_spread_lines(_read(spark, folder, "documents"))
@@ -25,11 +32,23 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.text_copies(_read(spark, folder, "documents"), exact_dedup.fresh_index(spark), "first")
 
 
+def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    return bpe.round_trip(_read(spark, folder, "documents"), tokenizer_spec("word_bpe_49k.json"))
+
+
+def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best of all vectors for every query vector."""
+    return topk.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_spread": op5_line_spread,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 SQL: dict[str, str] = {
@@ -50,4 +69,19 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM texts WINDOW same AS (PARTITION BY text_sha256)""",
+    "op10_exact_top_k": """
+        WITH weights AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        terms AS (SELECT vec_id, unnest(w) AS weight, generate_subscripts(w, 1) AS term FROM weights),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, sum(q.weight * c.weight)::BIGINT AS score
+            FROM terms q JOIN terms c ON q.term = c.term
+            WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+            GROUP BY 1, 2)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+               vec_id, score
+        FROM scores
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
 }
