@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, line_spread, topk
+from tabwright.llm import bpe, exact_dedup, line_spread, simhash, topk
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.text_copies(_read(spark, folder, "documents"), exact_dedup.fresh_index(spark), "first")
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint and the least document that near fingerprints lead to."""
+    found = simhash.near_duplicates(_read(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the text that they decode to."""
     return bpe.round_trip(_read(spark, folder, "documents"), tokenizer_spec("word_bpe_49k.json"))
@@ -47,6 +53,7 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_spread": op5_line_spread,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_exact_top_k": op10_exact_top_k,
 }
