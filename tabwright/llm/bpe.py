@@ -18,12 +18,15 @@ import hashlib
 import heapq
 import json
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from tabwright.llm.common import worker_cache
+
 SCAN_PARTS = 96
 CACHED_WORDS = 150_000
 CACHED_LENGTH = 64
@@ -44,7 +47,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary; made once per task."""
 
-    def __init__(self, spec: str, cached: int = CACHED_WORDS):
+    def __init__(self, spec: str):
         tokenizer = json.loads(spec)
         model = tokenizer["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -61,8 +64,7 @@ class WordBpe:
         split = tokenizer["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
         self.spaces = regex.compile(f"[{SPACE}]+")
-        self.cached = cached
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.cache = worker_cache(f"spelt_{zlib.crc32(spec.encode())}", CACHED_WORDS)
 
     def merge(self, parts: list[int]) -> list[int]:
         """Merge adjacent parts, lowest rank and leftmost first, until none can be."""
@@ -114,16 +116,18 @@ class WordBpe:
         return ids
 
     def _entry(self, word: str) -> tuple[int, str, str]:
+        known = self.cache.recall(word)
+        if known is not None:
+            return known
         ids = self.encode_word(word)
         entry = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
         if len(word) <= CACHED_LENGTH:
-            if len(self.cache) >= self.cached:
-                self.cache.clear()
-            self.cache[word] = entry
+            self.cache.young[word] = entry
         return entry
 
     def _words(self, text: str) -> Iterator[tuple[int, str, str]]:
-        found = self.cache.get
+        self.cache.turn()
+        found = self.cache.young.get
         runs = self.at_special.split(text) if self.at_special and "<|" in text else [text]
         for run in runs:
             if run in self.special:

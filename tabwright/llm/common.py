@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+import sys
+import types
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,5 +36,36 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def clean_folder_name(text: str) -> str:
-    return "".join(c if c.isalnum() else "_" for c in text)
+class WordCache:
+    """What was computed for recent words, in two generations of bounded size.
+
+    When the young generation is full it becomes the old one; words met again
+    are taken over, so that frequent words stay.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        """Make room, where the young generation is full."""
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+
+    def recall(self, word: str):
+        """The old generation's entry, taken over, or None."""
+        entry = self.old.get(word)
+        if entry is not None:
+            self.young[word] = entry
+        return entry
+
+
+def worker_cache(name: str, size: int) -> WordCache:
+    """The cache of this name in this Python worker; the tasks that it runs one after another share it."""
+    shelf = sys.modules.setdefault("_tabwright_caches", types.ModuleType("_tabwright_caches"))
+    cache = getattr(shelf, name, None)
+    if cache is None:
+        cache = WordCache(size)
+        setattr(shelf, name, cache)
+    return cache

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, line_spread, simhash, topk
+from tabwright.llm import bpe, exact_dedup, line_spread, packing, simhash, topk
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def tokenizer_spec(name: str) -> str:
         return file.read()
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 1024 tokens."""
+    return packing.pack_documents(_read(spark, folder, "documents"), tokenizer_spec("byte_bpe_50k.json"))
+
+
 def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without its cross-site lines."""
     cut = line_spread.cut_spread_lines(_read(spark, folder, "documents"))
@@ -51,6 +56,7 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_line_spread": op5_line_spread,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
