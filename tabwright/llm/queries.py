@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, line_spread, packing, passages, simhash, topk
+from tabwright.llm import bpe, exact_dedup, line_spread, packing, passages, quality, simhash, topk
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"), tokenizer_spec("byte_bpe_50k.json"))
 
 
+def op2_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality and whether it is kept."""
+    judged = quality.judge(_read(spark, folder, "documents"))
+    return judged.select("row.doc_id", F.round("quality", 6).alias("quality"), "kept")
+
+
 def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Every near-duplicate passage of 50 words or more with its earlier place."""
     found = passages.repeated_passages(_read(spark, folder, "documents"))
@@ -63,6 +69,7 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_weak_label_quality": op2_weak_label_quality,
     "op4_compact_windows": op4_compact_windows,
     "op5_line_spread": op5_line_spread,
     "op6_exact_dedup": op6_exact_dedup,
