@@ -295,3 +295,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = rooted.groupBy(F.col("root").alias("top")).agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("top")).select(F.col("fp").alias("of"), "component_id")
     return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+
+
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near duplicates, all columns as they are.
+
+    The row with the smallest doc_id stays (of rows that repeat it, any one; a
+    null doc_id comes last). Columns may have any names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(
+        docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), row.alias("row"))
+        .withColumn("place", F.monotonically_increasing_id()), "rows",
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
+    marked = written(fingerprints(rows.select("place", "text"), "place", "text"), "fingerprints")
+    groups = components(near_links(marked.select("fp").distinct()))
+    firsts = (
+        marked.join(groups, F.col("fp") == F.col("node"), "left")
+        .select("place", F.coalesce("root", "fp").alias("root"))
+        .join(rows.select("place", order.alias("order")), "place")
+        .groupBy("root")
+        .agg(F.min("order").alias("first"))
+        .select(F.col("first.place").alias("stays"))
+    )
+    return rows.join(firsts, F.col("place") == F.col("stays"), "left_semi").select("row.*")
