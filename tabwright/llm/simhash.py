@@ -309,7 +309,8 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         .withColumn("place", F.monotonically_increasing_id()), "rows",
     )
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
-    marked = written(fingerprints(rows.select("place", "text"), "place", "text"), "fingerprints")
+    marked = fingerprints(rows.select("place", "text"), "place").withColumnRenamed("doc_id", "place")
+    marked = written(marked, "fingerprints")
     groups = components(near_links(marked.select("fp").distinct()))
     firsts = (
         marked.join(groups, F.col("fp") == F.col("node"), "left")
