@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tabwright.llm.common import worker_cache
 
 SCAN_PARTS = 96
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
 NEVER = 1 << 60
 # White space as Unicode defines it.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, line_spread, packing, passages, quality, simhash, topk
+from tabwright.llm import bpe, exact_dedup, fixity, line_spread, packing, passages, quality, simhash, topk, url_trees
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -32,6 +32,29 @@ def op2_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.doc_id", F.round("quality", 6).alias("quality"), "kept")
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with known faults: of every 97 page ids one record has a byte changed, one is lost, one has grown."""
+    kind = F.pmod(F.col("page_id"), F.lit(97))
+    changed = F.concat(F.lit(b"w"), F.substring("payload", 2, 1 << 30))
+    grown = F.concat(F.col("payload"), F.lit(b"\n"))
+    payload = F.when(kind == 3, changed).when(kind == 5, grown).otherwise(F.col("payload"))
+    return records.where(kind.isNull() | (kind != 4)).withColumn("payload", payload)
+
+
+def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Where a replica of all pages' WARC records differs from the records, found through both trees.
+
+    The table has one copy of each page, so the second replica is made from it
+    with known faults; every record of both replicas is hashed.
+    """
+    pages = _read(spark, folder, "pages")
+    payload = fixity.warc_record(F.col("url"), F.col("html"), F.col("page_id"))
+    records = fixity.lay_out(pages.select("page_id", payload.alias("payload")))
+    found = fixity.audit(fixity.fixity_tree(records), fixity.fixity_tree(damaged(records)))
+    named = found.join(records.select("file", "offset", "page_id", "payload"), ["file", "offset"])
+    return named.select("page_id", "status", "left_size", "right_size", F.sha2("payload", 256).alias("record_sha256"))
+
+
 def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Every near-duplicate passage of 50 words or more with its earlier place."""
     found = passages.repeated_passages(_read(spark, folder, "documents"))
@@ -60,6 +83,14 @@ def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_read(spark, folder, "documents"), tokenizer_spec("word_bpe_49k.json"))
 
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; the URLs that a rule decides are the labelled ones."""
+    return url_trees.filter_urls(_read(spark, folder, "pages"), RULES)
+
+
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best of all vectors for every query vector."""
     return topk.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -70,15 +101,31 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_weak_label_quality": op2_weak_label_quality,
+    "op3_merkle_fixity": op3_merkle_fixity,
     "op4_compact_windows": op4_compact_windows,
     "op5_line_spread": op5_line_spread,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_url_trees": op9_url_trees,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 SQL: dict[str, str] = {
+    "op3_merkle_fixity": """
+        WITH records AS (
+            SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload
+            FROM pages)
+        SELECT page_id, CASE page_id % 97 WHEN 4 THEN 'missing' ELSE 'changed' END AS status,
+               strlen(payload)::BIGINT AS left_size,
+               CASE page_id % 97 WHEN 3 THEN strlen(payload) WHEN 5 THEN strlen(payload) + 1 END::BIGINT AS right_size,
+               sha256(payload) AS record_sha256
+        FROM records WHERE page_id % 97 IN (3, 4, 5)""",
     "op5_line_spread": f"""
         WITH parts AS (
             SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
