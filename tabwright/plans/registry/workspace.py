@@ -139,7 +139,45 @@ SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPI
 }
 _FLOOR = {"sql_math_functions": ("FLOOR(p_retailprice) AS down", "CAST(FLOOR(p_retailprice) AS BIGINT) AS down")}
 
+# (statement, whether the guard lets it pass over the tables' keys).
+GUARDED = [
+    ("SELECT COUNT(*) FROM orders", True),
+    ("WITH few AS (SELECT * FROM nation) SELECT n_name FROM few", True),
+    ("SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)", True),
+    ("EXPLAIN SELECT * FROM part", True),
+    ("PRAGMA table_info('part')", True),
+    ("SELECT s.id FROM default.secret_t s, orders", False),
+    ("SELECT id AS orders FROM secret_t", False),
+    ("SELECT * FROM orders WHERE o_orderkey IN (SELECT id FROM secret_t)", False),
+    ("SELECT * FROM (WITH secret_t AS (SELECT 1) SELECT * FROM secret_t) a, secret_t, orders", False),
+    ("SELECT 1", False),
+    ("SHOW TABLES", False),
+    ("DELETE FROM orders", False),
+    ("SELECT * FROM orders; SELECT * FROM part", False),
+    ("PRAGMA table_info('secret_t')", False),
+]
+
+
+def _guarded(spark, folder):
+    """Each statement with the guard's answer and, where it is a query that passes, its number of rows."""
+    space = _typed(spark, folder)
+    out = None
+    for text, _ in GUARDED:
+        try:
+            rows = space.query(text)
+        except ws.QueryRefused:
+            rows = None
+        counted = F.count(F.lit(1)) if rows is not None and text.startswith(("SELECT", "WITH")) else F.lit(None).cast("long")
+        source = rows if rows is not None else space.session.range(1)
+        one = source.agg(counted.alias("result_rows")).select(
+            F.lit(text).alias("statement"), F.lit(rows is not None).alias("allowed"), "result_rows"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "guard_statements": _guarded,
     **{name: _sql(text) for name, text in BOTH.items()},
     "sql_date_functions": _sql(
         "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM') AS month, datediff(o_orderdate, DATE '1995-01-01') AS days, "
@@ -164,16 +202,16 @@ QUERIES = {
     "preset_join_shared": _join_preset,
     "pick_group_column": lambda s, d: ws.group_count(
         table(s, d, "part").drop("p_name"),
-        ws.pick_group_column(ws.import_table(table(s, d, "part").drop("p_name")), "p_partkey"),
+        ws.pick_group_column(ws.import_table(table(s, d, "part").drop("p_name"))),
     ),
     "import_max_rows": lambda s, d: ws.import_table(
         table(s, d, "orders").select("o_orderkey", "o_orderstatus"), max_rows=50, order_by="o_orderkey"
     ),
     "import_group": _group_import,
-    "select_distinct": lambda s, d: _typed(s, d).query(
-        ws.command_list("pairs", [])["distinct_all"].replace('"pairs"', "(SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem)")
+    "select_distinct": lambda s, d: ws.run_command(
+        table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"), "distinct"
     ),
-    "command_order_by": lambda s, d: _typed(s, d).query(ws.command_list("supplier", ["s_name"])["order_s_name"]),
+    "command_order_by": lambda s, d: ws.run_command(table(s, d, "supplier"), "order", "s_name"),
     "row_selection_semi": _selection,
     "join_shared": lambda s, d: ws.join_shared(
         table(s, d, "nation").withColumnRenamed("n_regionkey", "regionkey"),
@@ -181,7 +219,13 @@ QUERIES = {
     ),
 }
 
+def _answer(text: str, passes: bool) -> str:
+    rows = f"(SELECT count(*) FROM ({text}) q)" if passes and text.startswith(("SELECT", "WITH")) else "NULL::BIGINT"
+    return "SELECT '" + text.replace("'", "''") + f"' AS statement, {str(passes).lower()} AS allowed, {rows} AS result_rows"
+
+
 SQL = {
+    "guard_statements": " UNION ALL ".join(_answer(*g) for g in GUARDED),
     **BOTH,
     "sql_math_functions": BOTH["sql_math_functions"].replace(*_FLOOR["sql_math_functions"]),
     "sql_date_functions": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month,
