@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import cells
 
-# Chart sizes.
+# Chart sizes. A drawing shows 200 points; the operators return all unless asked for ``n``.
 HISTOGRAM_BINS = 8
 CHART_POINTS = 200
 SCATTER_LEFT_COLUMNS = 3
@@ -124,17 +124,16 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, order_by: list[str], n: int = CHART_POINTS
+    df: DataFrame, x: str, y: str, order_by: list[str], n: int | None = None
 ) -> DataFrame:
-    """The first ``n`` points of a pair with both coordinates present."""
+    """The points of a pair with both coordinates present; the first ``n`` of them, where given."""
     xv = cells.number_of(cells.field_of(df, x))
     yv = cells.number_of(cells.field_of(df, y))
+    points = df.select(*order_by, xv.alias("x"), yv.alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if n is not None:
+        points = points.orderBy(*order_by).limit(n)
     return (
-        df.select(*order_by, xv.alias("x"), yv.alias("y"))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .orderBy(*order_by)
-        .limit(n)
-        .select(F.lit(x).alias("x_column"), F.lit(y).alias("y_column"), "x", "y")
+        points.select(F.lit(x).alias("x_column"), F.lit(y).alias("y_column"), "x", "y")
     )
 
 
@@ -148,11 +147,11 @@ def scatter_pairs(numeric_columns: list[str]) -> list[tuple[str, str]]:
     ]
 
 
-def scatter_plots(df: DataFrame, numeric_columns: list[str], order_by: list[str]) -> DataFrame:
+def scatter_plots(df: DataFrame, numeric_columns: list[str], order_by: list[str], n: int | None = None) -> DataFrame:
     """Points of the first three pairs that have at least two points."""
     plots = None
     for rank, (x, y) in enumerate(scatter_pairs(numeric_columns)):
-        points = scatter_points(df, x, y, order_by).withColumn("rank", F.lit(rank))
+        points = scatter_points(df, x, y, order_by, n).withColumn("rank", F.lit(rank))
         plots = points if plots is None else plots.unionByName(points)
     if plots is None:
         raise ValueError("Scatter plots need at least two numeric columns")
@@ -162,8 +161,8 @@ def scatter_plots(df: DataFrame, numeric_columns: list[str], order_by: list[str]
     return plots.join(F.broadcast(usable.select("rank")), "rank", "left_semi")
 
 
-def daily_line(df: DataFrame, date: str, value: str, n: int = CHART_POINTS) -> DataFrame:
-    """(x, y): daily sums of one column, oldest first, at most ``n`` days.
+def daily_line(df: DataFrame, date: str, value: str, n: int | None = None) -> DataFrame:
+    """(x, y): daily sums of one column; of the ``n`` oldest days, where given.
 
     Series of a single day give no points.
     """
@@ -177,11 +176,11 @@ def daily_line(df: DataFrame, date: str, value: str, n: int = CHART_POINTS) -> D
     )
     line = days.select(cells.day_label(F.col("day")).alias("x"), F.round("v", 4).alias("y"))
     enough = days.limit(2).agg(F.count(F.lit(1))).scalar() >= 2
+    line = line.filter(enough)
+    if n is not None:
+        line = line.orderBy("x").limit(n)
     return (
-        line.filter(enough)
-        .orderBy("x")
-        .limit(n)
-        .select(F.lit(date).alias("x_column"), F.lit(value).alias("y_column"), "x", "y")
+        line.select(F.lit(date).alias("x_column"), F.lit(value).alias("y_column"), "x", "y")
     )
 
 

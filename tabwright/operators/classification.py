@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators import neighbours
-from tabwright.operators.features import MAX_CATEGORIES, prepare, scaler
+from tabwright.operators.features import prepare, scaler
 from tabwright.plans.split import split_rows
 
 MAX_DISPLAY_CLASSES = 12
@@ -273,13 +273,10 @@ def run_classification(
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unknown classification algorithm: {algorithm}")
     prepared = prepare(df, features, order_by, target, target_kind="label")
-    found = prepared.rows.groupBy("label").count().limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"Too many classes in the target column: {target}")
-    sizes = {r["label"]: r["count"] for r in found}
+    sizes = {r["label"]: r["count"] for r in prepared.rows.groupBy("label").count().collect()}
     classes = sorted(sizes)
-    index = F.array_position(F.array(*(F.lit(c) for c in classes)), F.col("label")) - 1
-    rows = prepared.rows.withColumn("y", index.cast("double"))
+    numbered = df.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], "label string, y double")
+    rows = prepared.rows.join(numbered, "label")
     marked = split_rows(rows, ["idx"], test_size, seed, prepared.n, sizes, "label")
     # The split is exact, so its sizes are known without a job.
     test_rows = ceil(prepared.n * test_size)

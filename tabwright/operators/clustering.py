@@ -83,18 +83,21 @@ def ward_labels(centres: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.asarray([names[g] for g in owner])
 
 
-def ward(rows: DataFrame, k: int, seed: int, micro: int = MICRO_CENTRES) -> DataFrame:
-    """(idx, cluster) by Ward linkage over weighted micro-centres.
+def ward(rows: DataFrame, k: int, seed: int, micro: int = MICRO_CENTRES, method: str = "micro") -> DataFrame:
+    """(idx, cluster) by Ward linkage.
 
-    Up to ``micro`` distinct rows the merge is exact. Beyond that the rows are
-    first condensed to ``micro`` k-means centres (the idea of BIRCH, 1996).
+    ``micro`` condenses the rows to ``micro`` k-means centres first, whatever
+    their number (the idea of BIRCH, 1996); ``exact`` merges the distinct rows
+    themselves, of which there may be ``micro`` at most.
     """
-    spark = rows.sparkSession
+    if method not in ("micro", "exact"):
+        raise ValueError(f"Unknown Ward method: {method}")
     vectors = rows.select("idx", vector_to_array("scaled").alias("vec"))
-    distinct = vectors.groupBy("vec").agg(F.count(F.lit(1)).alias("w"), F.min("idx").alias("first"))
-    few = distinct.limit(micro + 1).count() <= micro
-    if few:
-        listed = distinct.orderBy("first").collect()
+    if method == "exact":
+        distinct = vectors.groupBy("vec").agg(F.count(F.lit(1)).alias("w"), F.min("idx").alias("first"))
+        listed = distinct.orderBy("first").limit(micro + 1).collect()
+        if len(listed) > micro:
+            raise ValueError(f"Exact Ward clustering takes {micro} distinct rows at most")
         centres = np.asarray([r["vec"] for r in listed], dtype=float)
         weights = np.asarray([r["w"] for r in listed], dtype=float)
     else:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tabwright.functions import cells
 
 # One-hot levels are held on the driver; wider text columns are refused.
-MAX_CATEGORIES = 10_000
 MAX_MISSING_PERCENT = 50
 FALLBACK_FEATURES = 3
 
@@ -82,7 +81,6 @@ def prepare(
         F.count_if(bad).alias("bad"),
         F.count_if(complete).alias("n"),
         *(F.every(F.when(complete, F.col(f"n{i}").isNotNull())).alias(f"num{i}") for i in texts_at),
-        *(F.approx_count_distinct(F.when(complete, F.col(f"t{i}"))).alias(f"dis{i}") for i in texts_at),
     ).first()
     if facts["bad"]:
         raise ValueError(f"Target column must be numeric: {target}")
@@ -92,9 +90,6 @@ def prepare(
     is_number = [typed[i] or facts[f"num{i}"] for i in range(len(features))]
     numeric = [i for i in range(len(features)) if is_number[i]]
     categorical = [i for i in range(len(features)) if not is_number[i]]
-    for i in categorical:
-        if facts[f"dis{i}"] > MAX_CATEGORIES:
-            raise ValueError(f"Too many categories for one-hot encoding: {features[i]}")
     stages: list = []
     if categorical:
         stages.append(
@@ -169,16 +164,21 @@ def eligible_features(
     Without any, the first clean columns are taken. The profile has one row per
     column, so its rows are read on the driver.
     """
-    issues = {r["column"]: list(r["issues"]) for r in feature_issues(profile, target).collect()}
-    candidates = candidates or [c for c in columns if c != target]
-    removed = {c: issues[c] for c in candidates if issues.get(c)}
-    for column, found in removed.items():
-        if column == target and len(found) > 1:
-            removed[column] = [i for i in found if i != "is the target column"]
-    selected = [c for c in dict.fromkeys(candidates) if not issues.get(c)]
-    if not selected:
-        selected = [c for c in columns if c != target and not issues.get(c)][:FALLBACK_FEATURES]
-    return selected, removed
+    wanted = candidates or [c for c in columns if c != target]
+    spark = profile.sparkSession
+    asked = spark.createDataFrame(
+        [(c, n, True) for n, c in enumerate(wanted)] + [(c, n, False) for n, c in enumerate(columns) if c != target],
+        "name string, place int, candidate boolean",
+    )
+    clean = F.size(F.coalesce("issues", F.array())) == 0
+    faults = F.filter("issues", lambda i: (F.size("issues") == 1) | (i != "is the target column"))
+    known = asked.join(feature_issues(profile, target), F.col("name") == F.col("column"), "left")
+    rows = known.groupBy("candidate", "name").agg(
+        F.min("place").alias("place"), F.first(clean).alias("clean"), F.first(faults).alias("faults")
+    ).orderBy("place").collect()  # one row per column
+    removed = {r["name"]: list(r["faults"]) for r in rows if r["candidate"] and not r["clean"]}
+    selected, fallback = ([r["name"] for r in rows if r["clean"] and r["candidate"] is kind] for kind in (True, False))
+    return selected or fallback[:FALLBACK_FEATURES], removed
 
 
 def numeric_targets(profile: DataFrame) -> list[str]:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from tabwright.operators.features import prepare, standardise
 
-PROJECTED_ROWS = 100
-
 
 @dataclass(frozen=True)
 class PCAResult:
@@ -23,8 +21,8 @@ class PCAResult:
     projections: DataFrame
 
 
-def run_pca(df: DataFrame, features: list[str], order_by: str, n_components: int = 2) -> PCAResult:
-    """Variance ratios, loadings and the first projected rows.
+def run_pca(df: DataFrame, features: list[str], order_by: str, n_components: int = 2, projected: int | None = None) -> PCAResult:
+    """Variance ratios, loadings and the projected rows (the first ``projected`` by order, where given).
 
     The sign of a component is fixed so that its largest loading is positive.
     """
@@ -53,6 +51,6 @@ def run_pca(df: DataFrame, features: list[str], order_by: str, n_components: int
     turned = F.zip_with(
         vector_to_array("projected"), F.array(*(F.lit(float(s)) for s in signs)), lambda x, s: F.round(x * s, 4)
     )
-    first = rows.orderBy("idx").limit(PROJECTED_ROWS)
+    first = rows if projected is None else rows.orderBy("idx").limit(projected)
     projections = model.transform(first).select("idx", turned.alias("projection"))
     return PCAResult(components, loadings, summary, projections)

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from tabwright.operators import classification as cl
 from tabwright.operators import clustering, pca, regression, reports
 from tabwright.operators.features import prepare, standardise
-from tabwright.plans.ordering import file_order
 from tabwright.plans.split import split_rows
 from tabwright.plans.registry.profile import PART_COLUMNS, _types_sql
 from tabwright.sources.tables import table
 
-SMALL = {"trees": 10, "max_depth": 6, "bins": 32, "fourier_features": 64, "max_iter": 15}
-
-
 def judged(spark, folder):
     """Labels as a prediction table: quality against a guess from the text length."""
     labels, docs = table(spark, folder, "labels"), table(spark, folder, "documents")
@@ -30,20 +26,20 @@ def predicted_prices(spark, folder):
 
 
 def lines(spark, folder):
-    """Line items with a unique number."""
-    columns = ["l_extendedprice", "l_quantity", "l_discount", "l_returnflag"]
-    return file_order(table(spark, folder, "lineitem").select(*columns), "line_no")
+    """Line items with a number made of their own key (an order has at most seven lines)."""
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("line_no")
+    return table(spark, folder, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_returnflag", number)
 
 
 def _regress(algorithm: str):
     return lambda s, d: regression.run_regression(
-        lines(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag"], "line_no", algorithm, options=SMALL
+        lines(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag"], "line_no", algorithm
     ).metrics
 
 
 def _classify(algorithm: str):
     return lambda s, d: cl.run_classification(
-        table(s, d, "orders"), "o_orderstatus", ["o_totalprice", "o_custkey"], "o_orderkey", algorithm, options=SMALL
+        table(s, d, "orders"), "o_orderstatus", ["o_totalprice", "o_custkey"], "o_orderkey", algorithm
     ).metrics
 
 
@@ -79,11 +75,13 @@ def _cluster(algorithm: str, part: str):
         prepared = prepare(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"], "o_orderkey", minimum=3)
         rows = standardise(prepared).select("idx", "scaled").persist()
         if part == "elbow":
-            return clustering.elbow(rows, prepared.n, 4, 42, starts=1)
+            found = clustering.elbow(rows, prepared.n, 10, 42)
+            rows.unpersist()
+            return found
         if algorithm == "kmeans":
-            assigned = clustering.best_kmeans(rows, 3, 42, starts=2).transform(rows)
+            assigned = clustering.best_kmeans(rows, 3, 42).transform(rows)
         else:
-            assigned = clustering.ward(rows, 3, 42, micro=200)
+            assigned = clustering.ward(rows, 3, 42)
         return clustering.cluster_sizes(assigned, 3)
 
     return run

@@ -221,12 +221,12 @@ FROM r CROSS JOIN (SELECT unnest(range(8)) AS bin) b LEFT JOIN c ON c.col = r.co
 
 def _line_sql(table_name: str, at: str, value: str) -> str:
     return f"""SELECT * FROM (SELECT '{at}' AS x_column, '{value}' AS y_column, strftime({at}, '%Y-%m-%d') AS x,
- round(CAST(sum({value}) AS DOUBLE), 4) AS y FROM {table_name} GROUP BY ALL ORDER BY x LIMIT 200)"""
+ round(CAST(sum({value}) AS DOUBLE), 4) AS y FROM {table_name} GROUP BY ALL)"""
 
 
 def _scatter_sql(table_name: str, x: str, y: str, key: str, rank: str = "") -> str:
     return f"""SELECT * FROM (SELECT {rank}'{x}' AS x_column, '{y}' AS y_column, CAST({x} AS DOUBLE) AS x,
- CAST({y} AS DOUBLE) AS y FROM {table_name} ORDER BY {key} LIMIT 200)"""
+ CAST({y} AS DOUBLE) AS y FROM {table_name})"""
 
 
 SQL = {

@@ -14,6 +14,7 @@ from tabwright.plans.ordering import positions_by_range
 RAGGED_WARNING = "Ragged CSV rows detected; extra columns were padded for analysis"
 ROW_INDEX = "_row_index"
 MAX_FILE_BYTES = 250 * 1024 * 1024
+TOO_LARGE = "Uploaded file exceeds the configured size limit"
 
 
 @dataclass(frozen=True)
@@ -143,7 +144,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     kind = F.lower(F.regexp_extract(F.col("name"), r"\.([^.]*)$", 1))
     as_csv = F.regexp_replace("name", r"(?i)\.xlsx$", ".csv")
     issue = F.when(F.col("length") == 0, "Uploaded file is empty").when(
-        F.col("length") > MAX_FILE_BYTES, "Uploaded file exceeds the configured size limit"
+        F.col("length") > MAX_FILE_BYTES, TOO_LARGE
     )
     return (
         listing.withColumn("name", name)
@@ -157,9 +158,17 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def read_bytes(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Whole files as (path, modificationTime, length, content); files have a size limit."""
+    """Whole files as (path, modificationTime, length, content, issue), one row per file.
+
+    A file above the size limit keeps its row: its content is not read and the
+    issue says why. Empty files have empty content.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.filter(F.col("length").between(1, MAX_FILE_BYTES))
+    fits = files.filter(F.col("length") <= MAX_FILE_BYTES).withColumn("issue", F.lit(None).cast("string"))
+    large = files.filter(F.col("length") > MAX_FILE_BYTES).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.lit(TOO_LARGE).alias("issue")
+    )
+    return fits.unionByName(large)
 
 
 def encoding_issues(files: DataFrame) -> DataFrame:
@@ -171,7 +180,7 @@ def encoding_issues(files: DataFrame) -> DataFrame:
         .when(~F.is_valid_utf8(raw), "CSV must be valid UTF-8 text")
         .when(unprintable_share(text) > CONTROL_SHARE, "File contains too many control characters")
     )
-    return files.select("path", issue.alias("issue"))
+    return files.select("path", (F.coalesce("issue", issue) if "issue" in files.columns else issue).alias("issue"))
 
 
 def file_hashes(files: DataFrame) -> DataFrame:

@@ -27,6 +27,21 @@ def windowed_metrics(
     )
 
 
+def with_open_windows(
+    closed: DataFrame, events: DataFrame, at: str, key: Column, duration_ms: Column, window: str = "1 hour",
+    slow_ms: float = SLOW_REQUEST_MS,
+) -> DataFrame:
+    """All windows of a drained stream: those that its sink holds and those still open.
+
+    An append sink gets a window when the watermark has passed it, so the last
+    ones of a finished stream are missing. They are counted from the events that
+    lie at or after the end of the last closed window.
+    """
+    last = closed.agg((F.max("window_start") + F.expr(f"INTERVAL {window}")).alias("end")).first()["end"]
+    rest = events if last is None else events.where(F.col(at) >= F.lit(last))
+    return closed.unionByName(windowed_metrics(rest, at, key, duration_ms, window, slow_ms=slow_ms))
+
+
 def dedup_on_arrival(files: DataFrame, at: str, file_hash: str = "file_hash", late: str = "1 hour") -> DataFrame:
     """The first arrival of each content hash within the watermark."""
     if files.isStreaming:

@@ -8,30 +8,30 @@ from tabwright.operators import charts, profile
 from tabwright.operators import quantiles
 from tabwright.operators.quantiles import percentile_linear, quartiles_exclusive
 
-PEST = """region,pest_type,incidents,month,notes
-North,rodent,12,January,
-South,insect,8,January,NA
-East,rodent,5,February,"""
+BEDS = """bed,crop,plants,season,remark
+A,bean,4,spring,
+B,leek,10,spring,NA
+C,bean,7,autumn,"""
 
 
 def test_profile_literal(text_table):
-    rows = {r["column"]: r for r in profile.profile(text_table(PEST), order_by="i").collect()}
+    rows = {r["column"]: r for r in profile.profile(text_table(BEDS), order_by="i").collect()}
     assert [r["inferred_type"] for r in sorted(rows.values(), key=lambda r: r["ordinal"])] == [
         "categorical", "categorical", "integer", "categorical", "string",
     ]
-    n = rows["incidents"]
-    assert (n["min"], n["q25"], n["median"], n["q75"], n["max"], n["mean"], n["std"]) == (5, 5, 8, 12, 12, 8.3333, 2.8674)
-    assert rows["pest_type"]["unique_count"] == 2 and rows["notes"]["missing_count"] == 3
-    assert [tuple(t) for t in rows["pest_type"]["top_values"]] == [("rodent", 2), ("insect", 1)]
-    assert rows["region"]["samples"] == ["North", "South", "East"]
+    n = rows["plants"]
+    assert (n["min"], n["q25"], n["median"], n["q75"], n["max"], n["mean"], n["std"]) == (4, 4, 7, 10, 10, 7.0, 2.4495)
+    assert rows["crop"]["unique_count"] == 2 and rows["remark"]["missing_count"] == 3
+    assert [tuple(t) for t in rows["crop"]["top_values"]] == [("bean", 2), ("leek", 1)]
+    assert rows["bed"]["samples"] == ["A", "B", "C"]
 
 
 def test_warnings(text_table):
-    df = text_table(PEST + "\nEast,rodent,5,February,").drop("i")
+    df = text_table(BEDS + "\nC,bean,7,autumn,").drop("i")
     types = profile.column_types(df)
     got = {r["warning"] for r in profile.quality_warnings(types, profile.duplicate_rows(df), sampled_rows=100000).collect()}
     assert got == {
-        "1 duplicate rows detected", "Column 'notes' is more than 50% missing", "Column 'notes' appears constant",
+        "1 duplicate rows detected", "Column 'remark' is more than 50% missing", "Column 'remark' appears constant",
         "Large dataset sampled to first 100,000 rows for EDA",
     }
 
@@ -100,7 +100,7 @@ def test_percentile_linear(spark):
 
 
 def test_cached_profile(spark, text_table, tmp_path):
-    df = text_table(PEST)
+    df = text_table(BEDS)
     first = profile.cached_profile(df, "abc", str(tmp_path), order_by="i")
     again = profile.cached_profile(df, "abc", str(tmp_path), order_by="i")
     assert not first.first()["cached"] and again.first()["cached"] and again.count() == 5

@@ -147,8 +147,10 @@ def test_top_pairs_exact(spark, monkeypatch, pivot_rows, block):
 
 
 def test_plugins_literal(text_table):
-    df = text_table("date,revenue,cost,label\n2024-01-01,100,40,a\n2024-01-02,120,50,b\n2024-01-03,90,35,a\n2024-01-04,300,60,b\n2024-01-05,110,45,a\n2024-01-06,315,70,b")
-    assert plugins.run_plugin(df, "demand_forecast", "i").first()["metrics"]["forecast"] == "241.6667"
+    rows = [("2020-05-0%d" % d, 7 * d + 30 * (d % 3 == 0), 90 - d * d, "xy"[d % 2]) for d in range(1, 8)]
+    df = text_table("date,revenue,cost,label\n" + "\n".join(",".join(map(str, r)) for r in rows))
+    # The last three days bring 35, 72 and 49.
+    assert plugins.run_plugin(df, "demand_forecast", "i").first()["metrics"]["forecast"] == "52.0"
     assert plugins.run_plugin(df, "fraud_detection", "i").first()["metrics"]["flagged_rows"] == "0"
     assert plugins.run_plugin(df, "customer_churn", "i").first()["summary"].startswith("Churn classifier trained on label")
     assert {r["name"]: r["applicable"] for r in plugins.list_plugins(df, "i").collect()} == {
