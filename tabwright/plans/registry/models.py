@@ -101,6 +101,49 @@ def _quick(part: str):
     return run
 
 
+def _exact_fit(algorithm: str):
+    """A target that the model can fit without error: the metrics are then known."""
+
+    def run(spark, folder):
+        q, d = F.col("l_quantity"), F.col("l_discount") * 100
+        target = q * 3 - d * 2 + 7 if algorithm == "linear" else q * q + q * d - d * 4 + 1
+        rows = lines(spark, folder).withColumns({"tenths": d, "made": target})
+        return regression.run_regression(rows, "made", ["l_quantity", "tenths"], "line_no", algorithm).metrics
+
+    return run
+
+
+def parted(spark, folder):
+    """Orders with two columns that tell their status apart: the groups lie far from each other."""
+    place = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1000).otherwise(5000)
+    return table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", (place + F.col("o_custkey") % 7).alias("first"), (place - F.col("o_custkey") % 5).alias("second")
+    )
+
+
+def _parted_class(algorithm: str):
+    return lambda s, d: cl.run_classification(
+        parted(s, d), "o_orderstatus", ["first", "second"], "o_orderkey", algorithm
+    ).metrics
+
+
+def _parted_clusters(algorithm: str):
+    def run(spark, folder):
+        prepared = prepare(parted(spark, folder), ["first", "second"], "o_orderkey", minimum=3)
+        rows = standardise(prepared).select("idx", "scaled")
+        if algorithm == "kmeans":
+            assigned = clustering.best_kmeans(rows, 3, 42).transform(rows)
+        else:
+            assigned = clustering.ward(rows, 3, 42, method="exact" if algorithm == "exact" else "micro")
+        return clustering.cluster_sizes(assigned, 3).select("rows")
+
+    return run
+
+
+def _loading_sizes(spark, folder):
+    return _pca("loadings")(spark, folder).select("component", "feature", F.abs("weight").alias("size"))
+
+
 def _importance(spark, folder):
     fit = regression.run_regression(
         lines(spark, folder).withColumn("doubled", F.col("l_quantity") * 2 + 3), "doubled", ["l_quantity"], "line_no"
@@ -123,6 +166,10 @@ QUERIES = {
     "cluster_kmeans_sizes": _cluster("kmeans", "sizes"),
     "cluster_ward_sizes": _cluster("hierarchical", "sizes"),
     "cluster_elbow": _cluster("kmeans", "elbow"),
+    **{f"regression_exact_{a}": _exact_fit(a) for a in ("linear", "polynomial")},
+    **{f"classify_parted_{a}": _parted_class(a) for a in cl.ALGORITHMS},
+    **{f"cluster_parted_{a}": _parted_clusters(a) for a in ("kmeans", "hierarchical", "exact")},
+    "pca_loading_sizes": _loading_sizes,
     "pca_components": _pca("components"),
     "pca_loadings": _pca("loadings"),
     "pca_projections": lambda s, d: _pca("projections")(s, d).select(
@@ -141,6 +188,7 @@ r AS (SELECT label, count(*) FILTER (actual = label AND predicted = label) AS hi
  count(*) FILTER (predicted = label) AS claimed FROM c CROSS JOIN j GROUP BY label),
 p AS (SELECT *, coalesce(hits / nullif(claimed, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall FROM r),
 f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM p)"""
+_EXACT = """SELECT '{}' AS algorithm, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS train_rows, CAST(ceil(count(*) * 0.2) AS BIGINT) AS test_rows, """
 _PAIR = "FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)"
 
 SQL = {
@@ -162,6 +210,20 @@ SELECT o_orderpriority, CAST(base + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIG
     "features_standardised": """SELECT 'p_retailprice' AS feature, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS deviation UNION ALL SELECT 'p_size', 0.0, 1.0
  UNION ALL SELECT DISTINCT 'p_type=' || p_type, 0.0, 1.0 FROM part""",
     "regression_importance": "SELECT 'l_quantity' AS feature, round(regr_slope(l_quantity * 2 + 3, l_quantity), 3) AS importance FROM lineitem",
+    **{
+        f"regression_exact_{a}": _EXACT.format(a) + "0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2 FROM lineitem"
+        for a in ("linear", "polynomial")
+    },
+    **{
+        f"classify_parted_{a}": _EXACT.format(a) + "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM orders"
+        for a in cl.ALGORITHMS
+    },
+    **{
+        f"cluster_parted_{a}": "SELECT count(*) AS rows FROM orders GROUP BY o_orderstatus"
+        for a in ("kmeans", "hierarchical", "exact")
+    },
+    "pca_loading_sizes": """SELECT component, feature, round(sqrt(count(*) / count(*) / 2.0), 4) AS size
+ FROM lineitem, (VALUES ('PC1'), ('PC2')) c(component), (VALUES ('l_quantity'), ('l_extendedprice')) f(feature) GROUP BY component, feature""",
     "pca_components": f"SELECT 'PC1' AS component, round((1 + abs(r)) / 2, 4) AS explained_variance_ratio {_PAIR} UNION ALL SELECT 'PC2', round((1 - abs(r)) / 2, 4) {_PAIR}",
     "report_rows": f"""WITH {_types_sql('part', PART_COLUMNS)}
 SELECT 'file' AS section, 'filename' AS name, 'part.csv' AS value UNION ALL SELECT 'file', 'rows', CAST(max(row_count) AS VARCHAR) FROM types
