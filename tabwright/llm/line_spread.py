@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import whole_text
+from tabwright.llm.common import whole_text, written
 
 SITES = 4
 #: log2 of the sketch's registers: its relative standard error is about 1.04 / sqrt(2**12) = 1.6 %.
@@ -53,17 +53,17 @@ def spread_lines(rows: DataFrame, threshold: int = SITES, margin: float = MARGIN
     """
     around = max(2.0, threshold * margin)
     near = (F.col("sites") >= threshold - around) & (F.col("sites") <= threshold + around)
-    # A line of one document, or of one site alone, needs no sketch to be below the threshold.
-    plural = rows.groupBy("line").agg(F.min("site").alias("least"), F.max("site").alias("most"))
-    plural = plural.where(F.col("least") != F.col("most")).select(F.col("line").alias("plural"))
-    shared = rows.join(plural, F.col("line") == F.col("plural"), "left_semi")
-    sketches = shared.groupBy("line").agg(F.hll_sketch_agg("site", bits).alias("sketch"))
-    estimates = sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
-    wide = estimates.where(~near & (F.col("sites") >= threshold))
+    # Stored, so that sketches are made once; they fold map-side, as do the distinct (line, site) pairs.
+    sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", bits).alias("sketch"))
+    estimates = written(
+        sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(near | (F.col("sites") >= threshold)),
+        "estimates",
+    )
+    wide = estimates.where(~near)
     close = estimates.where(near).select(F.col("line").alias("close"))
     exact = (
-        shared.join(close, F.col("line") == F.col("close"), "left_semi")
-        .dropDuplicates(["line", "site"])
+        rows.distinct()
+        .join(close, F.col("line") == F.col("close"), "left_semi")
         .groupBy("line")
         .agg(F.count(F.lit(1)).alias("sites"))
         .where(F.col("sites") >= threshold)
