@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import lower_ascii, whole_text
+from tabwright.llm.common import lower_ascii, whole_text, written
 from tabwright.session import shared_folder
 
 
@@ -105,6 +105,8 @@ def mark_copies(
     verdicts = groups.join(entries.hint("merge"), F.col("digest") == F.col("entry")).select(
         F.col("digest").alias("of"), F.col("stays").alias("keep_id"), size.alias("group_size"), "batch"
     )
+    # Stored, both sides of the join are plain shuffles, of which Spark splits a hot digest.
+    verdicts = written(verdicts, "verdicts")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)
     return rows.join(verdicts, F.col("digest") == F.col("of")).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"
