@@ -32,7 +32,7 @@ TRAIN_ROWS = 8000
 FEATURES = 1 << 14
 REJECT_BELOW = 0.5
 ROUNDS = 200
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 
 GOOD, BAD, NOTHING = 1, -1, 0
 #: How a labeller votes on a statistic: bad beyond the one bound, good within the other, nothing between.
@@ -179,7 +179,7 @@ def fit_scorer(texts: DataFrame, model: dict[tuple, float], total: int, rows: in
         F.struct(F.lit(1.0).alias("label"), (1 - F.col("bad")).alias("weight")),
         F.struct(F.lit(0.0).alias("label"), F.col("bad").alias("weight")),
     )
-    train = examples.select("places", "values", F.explode(weights).alias("w")).where("w.weight > 0.01").repartition(8)
+    train = examples.select("places", "values", F.explode(weights).alias("w")).where("w.weight > 0.01").repartition(3)
     if train.select("w.label").distinct().count() < 2:
         return None
     fitted = LogisticRegression(
