@@ -94,7 +94,7 @@ def _forest(split: Split, options: dict) -> DataFrame:
         [
             RandomForestClassifier(
                 labelCol="y", seed=42, numTrees=options.get("trees", 100),
-                maxDepth=options.get("max_depth", 16), maxBins=options.get("bins", 256),
+                maxDepth=options.get("max_depth", 12), maxBins=options.get("bins", 64),
             )
         ],
     )
