@@ -288,6 +288,38 @@ def test_cutting_repeats_leaves_one_copy(spark):
     assert all(r.text == untouched[r.doc_id] for r in cut if r.doc_id % 5)
 
 
+def test_passages_of_stock_sentences_between_strangers(spark):
+    """Two texts share a passage whose every sentence also stands in forty other texts."""
+    stock = [prose(14, 5000 + k) for k in range(6)]
+    docs = [(i, f"{prose(60, 6000 + i)} {stock[i % 6]} {prose(60, 7000 + i)}") for i in range(240)]
+    for i in range(8):
+        passage = " ".join(random.Random(i).sample(stock, 6))
+        docs += [(1000 + 2 * i + k, f"{prose(40, 8000 + 2 * i + k)} {passage} {prose(40, 9000 + 2 * i + k)}") for k in (0, 1)]
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    met = {frozenset((r.doc_id, r.other_doc_id)) for r in found}
+    assert {frozenset((1000 + 2 * i, 1001 + 2 * i)) for i in range(8)} <= met
+    assert all(min(pair) >= 1000 for pair in met)
+
+
+def test_passages_of_a_family_of_edited_copies(spark):
+    """Of every two of many edited copies that are clearly alike, the later one is found beside some copy."""
+    base = prose(100, 77).split()
+    docs, bodies = [], {}
+    for i in range(60):
+        rng = random.Random(i % 20)
+        body = list(base)
+        for k in rng.sample(range(12), 4):
+            body[8 * k + 4] = f"edit{i % 20}x{k}"
+        bodies[i] = body
+        docs.append((i, " ".join([prose(30, 300 + i), *body, prose(30, 400 + i)])))
+    shingle = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = {r.doc_id: r.id for r in frame.select("doc_id", passages.text_id("doc_id", "text").alias("id")).collect()}
+    sets = {i: shingle(b) for i, b in bodies.items()}
+    due = {max(i, j, key=ids.get) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.85}
+    assert len(due) > 5 and due <= {r.doc_id for r in passages.repeated_passages(frame).collect()}
+
+
 def test_passages_of_awkward_rows(messy, nothing):
     found = passages.repeated_passages(messy).collect()
     assert {frozenset((r.doc_id, r.other_doc_id)) for r in found} == {frozenset((7, 8))}
