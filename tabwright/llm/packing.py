@@ -8,7 +8,8 @@ parent into the other, drops the bins that would hold a piece twice, and
 best-fits the displaced pieces, longest first. After each epoch every island's
 elite moves on to the next island of its shard; the best packing of a shard's
 islands is taken. Pieces in bins that stay poorly filled are dealt again into
-fewer shards, until one shard holds all that is left.
+fewer shards of the same bound, until one shard holds all that is left or a
+level settles too little, which leaves its bins as they are.
 
 Islands are rows of a DataFrame, so epochs are ordinary Spark jobs over
 (shard, island) rows whose size does not depend on the corpus.
@@ -44,6 +45,8 @@ GENERATIONS = 6
 POPULATION = 4
 #: Bins filled to this share are settled; pieces of others are dealt again.
 SETTLED = 0.97
+#: Least share of a level's pieces that settles, for the others to be dealt again.
+WORTH = 0.05
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 # Fixed value: how byte-level tokenizers of this family part a text.
@@ -279,8 +282,8 @@ def _epoch(islands: DataFrame, capacity: int, epoch: int) -> DataFrame:
     )
 
 
-def _pack_shards(items: DataFrame, shards: int, capacity: int, level: int) -> DataFrame:
-    """(uid, length, sequence, offset, filled) with every shard packed by its islands."""
+def _pack_shards(items: DataFrame, shards: int, capacity: int, level: int, first: int) -> DataFrame:
+    """(uid, length, sequence_id, offset, filled) with every shard packed by its islands; ``first`` shards have ids already."""
     dealt = items.select(
         "uid", "length", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard")
     )
@@ -319,7 +322,7 @@ def _pack_shards(items: DataFrame, shards: int, capacity: int, level: int) -> Da
 
     placed = taken.mapInPandas(places, "shard long, item int, bin long, offset long, filled long")
     joined = numbered.join(placed, ["shard", "item"])
-    sequence = F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft(F.col("shard"), 20) + F.col("bin")
+    sequence = F.shiftleft(F.col("shard") + F.lit(first).cast("long"), 20) + F.col("bin")
     return joined.select("uid", "length", sequence.alias("sequence_id"), "offset", "filled")
 
 
@@ -327,20 +330,20 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     """(uid, sequence_id, offset) for stored rows (uid, length); uids are distinct longs, lengths 1 to ``capacity``."""
     whole = rows.where(F.col("length") == capacity)
     parts = [whole.select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    left, level = rows.where(F.col("length") < capacity).select("uid", "length"), 1
-    count, shards = left.count(), 0
+    left, level, first = rows.where(F.col("length") < capacity).select("uid", "length"), 1, 0
+    count = left.count()
     while count:
-        fewer = max(1, -(-count // shard_pieces))
-        # Each level has fewer shards than the last, so levels end.
-        shards = min(fewer, max(1, shards - 1)) if shards else fewer
-        packed = written(_pack_shards(left, shards, capacity, level), "packed")
+        # Dealt by a hash, shards hold at most that many on the mean, at every level.
+        shards = -(-count // shard_pieces)
+        packed = written(_pack_shards(left, shards, capacity, level, first), "packed")
         poor = F.col("filled") < F.lit(SETTLED * capacity)
-        last = shards == 1
+        again = 0 if shards == 1 else packed.where(poor).count()
+        # Each level has at most 1 - WORTH of the last one's pieces, so levels end and ids stay below 2 ** 63.
+        last = count - again < WORTH * count or shards == 1
         parts.append((packed if last else packed.where(~poor)).select("uid", "sequence_id", "offset"))
         if last:
             break
-        left, level = packed.where(poor).select("uid", "length"), level + 1
-        count = left.count()
+        left, level, first, count = packed.where(poor).select("uid", "length"), level + 1, first + shards, again
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

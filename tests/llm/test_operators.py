@@ -130,6 +130,20 @@ def test_packing_in_levels(spark):
     assert len(fill) <= 1.02 * -(-sum(r.length for r in found) // 1024)
 
 
+def test_packing_of_pieces_that_never_fill_a_bin(spark, monkeypatch):
+    levels, pack_shards = [], packing._pack_shards
+
+    def seen(items, shards, *rest):
+        levels.append(shards)
+        return pack_shards(items, shards, *rest)
+
+    monkeypatch.setattr(packing, "_pack_shards", seen)
+    rows = spark.range(3000).select(F.col("id").alias("uid"), F.lit(600).cast("long").alias("length"))
+    found = packing.pack(rows, 1024, shard_pieces=500).collect()
+    assert len({r.uid for r in found}) == len({r.sequence_id for r in found}) == 3000
+    assert len(levels) == 1 and max(Counter(r.sequence_id >> 20 for r in found).values()) <= 1.25 * 500
+
+
 # --- quality
 
 
