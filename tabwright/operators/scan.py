@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from tabwright.functions import content_rules as rules
 from tabwright.plans.parallel import spread
 
+UNREAD = "File content was not read"
+
 
 def _found(condition: Column, kind: str) -> Column:
     text, score = rules.ISSUES[kind]
     return F.when(condition, F.struct(F.lit(text).alias("issue"), F.lit(score).alias("score")))
 
 
-def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, valid: Column | None, file_hash: Column) -> DataFrame:
+def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, valid: Column | None, file_hash: Column,
+          fault: Column | None = None) -> DataFrame:
     """Keys, status, issues, risk_score, recommended_action and file_hash per row.
 
-    Every rule is evaluated once into a flag column; name, null-byte and encoding
-    faults block the unit, and its later rules are not run.
+    Every rule is evaluated once into a flag column; a ``fault`` (why the text is
+    not there), name, null-byte and encoding faults block the unit, and its later
+    rules are not run.
     """
     flags = df.select(*keys, text.alias("_text"), file_hash.alias("file_hash"),
         (rules.filename_issue(name) if name is not None else F.lit(None).cast("string")).alias("_name"),
         (valid if valid is not None else F.lit(True)).alias("_valid"),
+        (fault if fault is not None else F.lit(None).cast("string")).alias("_fault"),
     ).withColumn("_null", rules.has_null_byte(F.col("_text")))
-    stopped = F.col("_name").isNotNull() | F.col("_null")
+    stopped = F.col("_fault").isNotNull() | F.col("_name").isNotNull() | F.col("_null")
     flags = flags.withColumn(
         "_control", F.when(~stopped & F.col("_valid"), rules.unprintable_share(F.col("_text")) > rules.CONTROL_SHARE)
     )
@@ -32,7 +37,7 @@ def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, val
     flags = flags.withColumn("_blocked", blocked)
     body = F.when(~F.col("_blocked"), F.col("_text"))
     checked = flags.select(
-        *keys, "file_hash", "_name", "_valid", "_null", "_control", "_blocked",
+        *keys, "file_hash", "_fault", "_name", "_valid", "_null", "_control", "_blocked",
         rules.has_long_line(body).alias("_long"),
         rules.has_script(body).alias("_script"),
         rules.formula_kind(body).alias("_formula"),
@@ -40,12 +45,13 @@ def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, val
         rules.has_url(body).alias("_url"),
         rules.has_base64_run(body).alias("_base64"),
     )
-    named = F.when(
-        F.col("_name").isNotNull(), F.struct(F.col("_name").alias("issue"), F.lit(100).alias("score"))
+    unread, named = (
+        F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("issue"), F.lit(100).alias("score"))) for c in ("_fault", "_name")
     )
-    early = F.col("_name").isNotNull() | F.col("_null")
+    early = F.col("_fault").isNotNull() | F.col("_name").isNotNull() | F.col("_null")
     found = F.array_compact(
         F.array(
+            unread,
             named,
             _found(F.col("_null"), "null_bytes"),
             F.when(~early, F.coalesce(_found(~F.col("_valid"), "not_utf8"), _found(F.col("_control"), "control"))),
@@ -91,11 +97,17 @@ def scan_texts(df: DataFrame, keys: list[str], text: Column, name: Column | None
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """Scan a ``binaryFile`` listing: bytes are checked before they are read as text."""
+    """Scan a ``binaryFile`` listing: bytes are checked before they are read as text.
+
+    A file with an ``issue``, or whose content was not read, is blocked for it.
+    """
+    fault = F.when(F.col("content").isNull(), UNREAD)
+    if "issue" in files.columns:
+        fault = F.coalesce(F.col("issue"), fault)
     raw = F.col("content").cast("string")
     text = F.regexp_replace(F.make_valid_utf8(raw), r"^\uFEFF", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return _scan(files, ["path"], text, name, F.is_valid_utf8(raw), F.sha2("content", 256))
+    return _scan(files, ["path"], text, name, F.is_valid_utf8(raw), F.sha2("content", 256), fault)
 
 
 def latest_scan(scans: DataFrame, file: str, scanned_at: str, tie: str) -> DataFrame:

@@ -60,3 +60,15 @@ def test_latest_and_history(spark):
     )
     assert {(r["file"], r["status"]) for r in scan.latest_scan(rows, "file", "at", "at").collect()} == {("f", "blocked"), ("g", "warning")}
     assert [r["at"] for r in scan.scan_history(rows, "file", "f", "at", "at").collect()] == [3, 2, 1]
+
+
+def test_a_file_that_was_not_read_is_blocked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_files, "MAX_FILE_BYTES", 20)
+    (tmp_path / "large.csv").write_text("a,b\n" + "1,=cmd|calc\n" * 10)
+    (tmp_path / "small.csv").write_text("a,b\n1,2\n")
+    files = csv_files.read_bytes(spark, str(tmp_path))
+    got = {r.path[-9:]: r for r in scan.scan_files(files).collect()}
+    assert got["large.csv"].status == "blocked" and got["large.csv"].issues == [csv_files.TOO_LARGE]
+    assert got["large.csv"].risk_score == 100 and got["small.csv"].status == "safe"
+    bare = {r.path[-9:]: r for r in scan.scan_files(files.drop("issue")).collect()}
+    assert bare["large.csv"].status == "blocked" and bare["large.csv"].issues == [scan.UNREAD]
