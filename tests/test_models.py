@@ -178,3 +178,13 @@ def test_nearest_exact(spark, monkeypatch, pivot_rows, block):
     gaps = np.round(np.sqrt(((asked[:, None] - base[None]) ** 2).sum(-1)), 9)
     order = np.argsort(gaps, axis=1, kind="stable")
     assert got == {(q, k + 1): int(order[q, k]) for q in range(50) for k in range(5)}
+
+
+def test_forests_grow_deep_and_fine_by_default(spark, monkeypatch):
+    forest = regression.ALGORITHMS["random_forest"].build(1, {})[-1]
+    assert (forest.getMaxDepth(), forest.getMaxBins()) == (16, 256)
+    asked = {}
+    monkeypatch.setattr(classification, "RandomForestClassifier", lambda **options: asked.update(options))
+    monkeypatch.setattr(classification, "_scored", lambda split, stages: None)
+    classification._forest(None, {})
+    assert (asked["maxDepth"], asked["maxBins"]) == (16, 256)
