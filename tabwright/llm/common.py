@@ -5,9 +5,13 @@ from __future__ import annotations
 import string
 import sys
 import types
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabwright.session import shared_folder
 
@@ -36,6 +40,27 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def with_columns(rows: DataFrame, work: Callable[..., list[list]], kept: list[str], read: list[Column], made: str) -> DataFrame:
+    """``kept`` columns of ``rows`` as they are and the columns ``made``, worked out from the columns ``read``.
+
+    ``work`` takes a list of values per column read and returns one per column
+    made, batch by batch. It runs once per row: unlike a UDF, it is not worked
+    out again for a filter on what it made.
+    """
+    fields = StructType.fromDDL(made)
+    kinds, first, reads = [f.type for f in to_arrow_schema(fields)], len(kept), len(read)
+    names = [*kept, *fields.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = work(*(batch.column(first + n).to_pylist() for n in range(reads)))
+            columns = [*batch.columns[:first], *(pa.array(v, kind) for v, kind in zip(new, kinds))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = StructType([*(rows.schema[c] for c in kept), *fields])
+    return rows.select(*kept, *(c.alias(f"read{n}") for n, c in enumerate(read))).mapInArrow(run, out)
+
+
 class WordCache:
     """What was computed for recent words, in two generations of bounded size.
 

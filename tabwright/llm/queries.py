@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import bpe, exact_dedup, fixity, line_spread, packing, passages, quality, simhash, topk, url_trees
+from tabwright.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    fixity,
+    hard_negatives,
+    line_spread,
+    packing,
+    passages,
+    periodic,
+    quality,
+    simhash,
+    topk,
+    url_trees,
+)
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -96,8 +110,62 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Up to three hard negatives of every anchor's five positives; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's words that lie in windows of the benchmark, and the items these come from."""
+    found = decontaminate.find(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+def with_planted_runs(text: Column, doc_id: Column) -> Column:
+    """The text; of every tenth document (by the CRC of its id) its words from some place on repeat with some period."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def rewritten(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    words = F.filter(F.split(text, periodic.WHITE), lambda w: w != "")
+    # The array around the words is there to have them worked out once, not once per word.
+    new = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, rewritten(w)).otherwise(F.lit("")))[0]
+    return F.when(h % 10 == 0, new).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's runs of repeated words, the longest of them, and digests of the runs and of the text without repeats."""
+    docs = _read(spark, folder, "documents").select("doc_id", with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.find_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = found.select("row.doc_id", "runs", "collapsed", lines.alias("lines"), longest.alias("best"))
+    length, start, period = F.col("best.length"), -F.col("best.start"), -F.col("best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Fixed value: words of the decontamination contract.
+ALPHANUMERIC = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_weak_label_quality": op2_weak_label_quality,
@@ -109,6 +177,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_url_trees": op9_url_trees,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -158,4 +229,48 @@ SQL: dict[str, str] = {
                vec_id, score
         FROM scores
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op11_hard_negatives": """
+        WITH weights AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS w
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        terms AS (SELECT vec_id, label, unnest(w) AS weight, generate_subscripts(w, 1) AS term FROM weights),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.weight * c.weight)::BIGINT AS score
+            FROM terms a JOIN terms c ON a.term = c.term
+            WHERE a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+            GROUP BY 1, 2, 3),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        ranked AS (
+            SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                   (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank
+            FROM positives JOIN scores USING (anchor_id)
+            WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT * FROM ranked WHERE rank <= 3""",
+    "op12_decontaminate": f"""
+        WITH item_words AS (SELECT item_id, regexp_extract_all({LOWER_AZ}, '{ALPHANUMERIC}') AS w FROM benchmark),
+        item_windows AS (
+            SELECT DISTINCT item_id::VARCHAR AS item, len(g) AS size, g FROM (
+                SELECT item_id, unnest(CASE WHEN len(w) < 10 THEN [w]
+                    ELSE list_transform(range(1, len(w) - 8), lambda i: w[i : i + 9]) END) AS g
+                FROM item_words WHERE len(w) > 0)),
+        doc_words AS (SELECT doc_id, regexp_extract_all({LOWER_AZ}, '{ALPHANUMERIC}') AS w FROM documents),
+        doc_windows AS (
+            SELECT doc_id, size, place, w[place : place + size - 1] AS g FROM (
+                SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS place
+                FROM doc_words, (SELECT DISTINCT size FROM item_windows))),
+        hits AS (SELECT doc_id, place, size, item FROM doc_windows JOIN item_windows USING (size, g)),
+        hit_words AS (
+            SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(place, place + size)) AS word FROM hits)
+            GROUP BY 1),
+        hit_items AS (
+            SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM doc_words LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)""",
 }
