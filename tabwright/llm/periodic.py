@@ -5,16 +5,18 @@ least ``POWERS`` times, as long as it can be. Where a run of period q stands,
 the words q apart are equal over an interval of at least (POWERS - 1) q places.
 
 Periods are sorted into octaves: that of step S (2, 4, 8, ...) holds S/2 to
-S - 1. Boundaries stand every S words, so every interval of an octave holds a
-boundary and the S/2 words that follow it, which must then stand again q words
-later; a rolling hash tells which boundaries can be such, in time n for each
-octave. Around these a document is exploded into overlapping tiles, which reach
-S words to the left and 5/2 S to the right. Tiles are dealt out on their own,
-whichever document they come from, and solved by Z-functions from the boundary
-to both sides: how far the words from the boundary agree with those q later, and
-those before it with those before q later. What is found are fragments of
-intervals, cut at the tile's ends; they are shuffled by document and period and
-stitched where they touch. Of several periods of one stretch the smallest counts.
+S - 1. Boundaries stand every S/2 words, so every interval of an octave holds a
+boundary and S + 1 words that follow it, which must then stand again q words
+later; a rolling hash tells which boundaries can be such and for which periods,
+in time n for each octave. Boundaries that follow each other with a period in
+common are a chain. A document is exploded into overlapping tiles, one for every
+stretch of a chain of bounded length that begins with a period which the
+boundary before it lacks. Tiles are dealt out on their own, whichever document
+they come from, and solved by Z-functions from their boundary to both sides: how
+far the words from the boundary agree with those q later, and those before it
+with those before q later. What is found are fragments of intervals, cut at the
+tile's ends; they are shuffled by document and period and stitched where they
+touch. Of several periods of one stretch the smallest counts.
 
 Rows without a boundary to look at, which is most of them, are never shuffled.
 """
@@ -34,7 +36,7 @@ from tabwright.llm.words import BETWEEN_WHITE, Numbering, raw_of
 #: Least repetitions and least words of a run.
 POWERS = 4
 LEAST = 6
-#: Words up to which neighbouring boundaries share a tile.
+#: Words after which a tile ends, but for those of more than a quarter of it in step.
 TILE = 1 << 13
 #: Tiles that a task solves, beyond as many tasks as there are shuffle partitions.
 TILES_PER_TASK = 20_000
@@ -44,32 +46,48 @@ CHUNK = 1 << 18
 COMPARED = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 WHITE = "[\\x09-\\x0D ]+"
-TILES = "tiles array<struct<step:int,base:int,bounds:array<int>,codes:binary>>"
+TILES = "tiles array<struct<step:int,base:int,bound:int,codes:binary>>"
 
 
-def boundaries(numbers: np.ndarray, step: int, sums: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Multiples of ``step`` at which step / 2 words stand again step / 2 to step - 1 words later (or their hashes say so).
+def gram_of(step: int) -> int:
+    """Words after some boundary of every interval of an octave that lie in the interval."""
+    gap = step // 2
+    return max(LEAST, POWERS * gap) - 2 * gap + 1
 
-    ``sums`` are the running sums of the words' hashes times ``powers``, so that
-    a difference, shifted by a power, is a hash of the words between.
+
+def chains(numbers: np.ndarray, step: int, sums: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(boundaries, last boundaries of their chains) where tiles begin.
+
+    At a boundary the next ``gram_of`` words stand again a period of the octave
+    later (or their hashes say so); it is listed where one of its periods is not
+    the boundary's before. ``sums`` are the running sums of the words' hashes
+    times ``powers``, so that a difference, shifted by a power, is a hash of the
+    words between.
     """
-    gram = step // 2
-    periods = np.arange(gram, step)
-    last = len(numbers) - 2 * gram
-    places = np.arange(0, last + 1, step)
-    found = []
-    for low in range(0, len(places), max(1, COMPARED // gram)):
-        c = places[low : low + max(1, COMPARED // gram)]
+    gap, gram = step // 2, gram_of(step)
+    periods = np.arange(gap, step)
+    last = len(numbers) - gram
+    places = np.arange(0, max(0, last - gap + 1), gap)
+    new, on = [], []
+    before = np.zeros((1, len(periods)), dtype=bool)
+    for low in range(0, len(places), max(1, COMPARED // gap)):
+        c = places[low : low + max(1, COMPARED // gap)]
         later = c[:, None] + periods
-        inside = later + gram <= len(numbers)
-        later = np.minimum(later, last + gram)
-        same = (sums[c + gram] - sums[c])[:, None] * powers[periods] == sums[later + gram] - sums[later]
-        found.append(c[(same & inside).any(axis=1)])
-    return np.concatenate(found) if found else places[:0]
+        inside = later <= last
+        later = np.minimum(later, last)
+        same = inside & ((sums[c + gram] - sums[c])[:, None] * powers[periods] == sums[later + gram] - sums[later])
+        before = np.concatenate([before[-1:], same])
+        new.append((same & ~before[:-1]).any(axis=1))
+        on.append((same & before[:-1]).any(axis=1))
+    if not new:
+        return places, places
+    begins = np.flatnonzero(np.concatenate(new))
+    breaks = np.append(np.flatnonzero(~np.concatenate(on)), len(places))
+    return places[begins], places[breaks[np.searchsorted(breaks, begins, side="right")] - 1]
 
 
 def tiles_of(coded: list[np.ndarray]) -> list[list[dict]]:
-    """Per text its tiles (step, base, bounds, codes): where the tile begins, its boundaries from there, its words."""
+    """Per text its tiles: step, base (where the tile begins), bound (its boundary, from there), codes (its words)."""
     out: list[list[dict]] = [[] for _ in coded]
     longest = max(map(len, coded), default=0)
     if longest < LEAST:
@@ -85,22 +103,16 @@ def tiles_of(coded: list[np.ndarray]) -> list[list[dict]]:
     sums = np.append(np.uint64(0), np.cumsum(mixed * powers, dtype=np.uint64))
     step = 2
     while max(LEAST, POWERS * step // 2) <= longest:
-        places = boundaries(numbers, step, sums, powers)
-        owners = np.searchsorted(starts, places, side="right") - 1
-        wide = max(TILE, 4 * step)
-        opens = np.append(True, (np.diff(places) > step) | (np.diff(owners) > 0)) if len(places) else np.zeros(0, bool)
-        for own in np.split(np.arange(len(places)), np.flatnonzero(opens)[1:]):
-            while len(own):
-                held = own[places[own] < places[own[0]] + wide]
-                own = own[len(held) :]
-                k = int(owners[held[0]])
-                begin, end = int(starts[k]), int(starts[k]) + len(coded[k])
-                low = max(begin, int(places[held[0]]) - step)
-                high = min(end, int(places[held[-1]]) + 2 * step + step // 2)
-                if end - begin >= max(LEAST, POWERS * step // 2):
-                    codes = np.ascontiguousarray(numbers[low:high], dtype="<i4").tobytes()
-                    bounds = (places[held] - low).tolist()
-                    out[k].append({"step": step, "base": low - begin, "bounds": bounds, "codes": codes})
+        gap, reach = step // 2, step // 2 + gram_of(step)
+        wide = max(TILE, 4 * step) // gap * gap
+        begins, ends = chains(numbers, step, sums, powers)
+        for c, end in zip(begins.tolist(), ends.tolist()):
+            k = int(np.searchsorted(starts, c, side="right")) - 1
+            first, stop = int(starts[k]), int(starts[k]) + len(coded[k])
+            for at in range(c, end + 1, wide):
+                low, high = max(first, at - gap), min(stop, min(at + wide - gap, end) + reach + step)
+                codes = np.ascontiguousarray(numbers[low:high], dtype="<i4").tobytes()
+                out[k].append({"step": step, "base": low - first, "bound": at - low, "codes": codes})
         step *= 2
     return out
 
@@ -120,25 +132,17 @@ def z_function(words: list[int]) -> list[int]:
     return z
 
 
-def solve(words: list[int], bounds: list[int], step: int) -> list[tuple[int, int, int]]:
-    """(period, first, end) of the tile's stretches of places that equal those a period later, joined where they touch."""
-    found: dict[int, list[list[int]]] = {}
-    reach = step + step // 2
-    for c in bounds:
-        ahead = z_function(words[c : c + reach + step])
-        low = max(0, c - step)
-        before, n = words[low:c][::-1], min(len(words), c + step)
-        behind = z_function([*before, -1, *words[low:n][::-1]])
-        for period in range(step // 2, min(step, len(words) - c)):
-            if ahead[period] >= step // 2:
-                back = behind[len(before) + 1 + n - (c + period)] if before else 0
-                first, end = c - min(back, len(before)), c + min(ahead[period], reach)
-                held = found.setdefault(period, [])
-                if held and first <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], end)
-                else:
-                    held.append([first, end])
-    return [(period, first, end) for period, held in found.items() for first, end in held]
+def solve(words: list[int], bound: int, step: int) -> list[tuple[int, int, int]]:
+    """(period, first, end) of the tile's stretches of places around its boundary that equal those a period later."""
+    ahead = z_function(words[bound:])
+    before, n = words[:bound][::-1], min(len(words), bound + step)
+    behind = z_function([*before, -1, *words[:n][::-1]])
+    found = []
+    for period in range(step // 2, min(step, len(ahead))):
+        if ahead[period] >= gram_of(step):
+            back = behind[len(before) + 1 + n - (bound + period)] if before else 0
+            found.append((period, bound - back, bound + ahead[period]))
+    return found
 
 
 def _tiles_of_texts(texts: list[str | None]) -> list[list]:
@@ -215,7 +219,7 @@ def find_runs(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = []
             for t in batch.itertuples(index=False):
                 words = np.frombuffer(t.codes, dtype="<i4").tolist()
-                rows += [(t.place, p, t.base + a, t.base + b) for p, a, b in solve(words, list(t.bounds), t.step)]
+                rows += [(t.place, p, t.base + a, t.base + b) for p, a, b in solve(words, t.bound, t.step)]
             yield pd.DataFrame(rows, columns=["place", "period", "first", "end"])
 
     # Every tile is dealt out on its own: a long document is many tasks' work.
