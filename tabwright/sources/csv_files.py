@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.functions import cells
 from tabwright.functions.content_rules import CONTROL_SHARE, has_null_byte, unprintable_share
-from tabwright.plans.ordering import positions_by_range
+from tabwright.sources.csv_records import csv_records
 
 RAGGED_WARNING = "Ragged CSV rows detected; extra columns were padded for analysis"
 ROW_INDEX = "_row_index"
@@ -43,76 +42,47 @@ def unique_names(headers: list[str]) -> list[str]:
     return out
 
 
-def _reader(spark: SparkSession, multiline: bool):
-    return (
-        spark.read.option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .option("maxColumns", 20480)
-        .option("maxCharsPerColumn", -1)
-    )
+# Cells are taken as they are; a cell without text is null here and '' in the table.
+CELL_OPTIONS = {
+    "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "", "maxColumns": "20480",
+    "maxCharsPerColumn": "-1",
+}
 
 
-def _record_width(record):
-    """Cells of a raw record: commas outside quotes, plus one."""
-    bare = F.regexp_replace(record, r'"(?:[^"]|"")*+"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+def _cells(record, names: list[str]):
+    return F.from_csv(record, ", ".join(f"`{n}` string" for n in names), CELL_OPTIONS)
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True, widen: bool = True) -> CsvTable:
-    """Read one CSV file set with a header row.
+def read_csv(spark: SparkSession, path: str, widen: bool = True) -> CsvTable:
+    """Read one CSV file set whose files each begin with a header row.
 
     Headers are stripped, blank ones become ``column_<n>``; rows of blank cells are
     dropped. With ``widen`` records wider than the header get ``item_<n>`` columns
-    and short ones are padded with ''; otherwise extra cells are ignored. Without
-    quoted line breaks ``multiline=False`` lets Spark split big files.
+    and short ones are padded with ''; otherwise extra cells are ignored. Quoted
+    cells may hold line breaks, files of any size are read in parallel
+    (``csv_records``), and ``_row_index`` follows the files' order.
     """
-    head = _reader(spark, multiline).csv(path).first()
+    records = csv_records(spark, path)
+    first = F.struct("record", "width")
+    at_top = F.col("position") == 0
+    head, width = records.agg(
+        F.min_by(F.when(at_top, first), F.when(at_top, F.col("file"))), F.max(F.when(~at_top, F.col("width")))
+    ).first()
     if head is None:
         raise ValueError("CSV must contain a header row")
-    headers = clean_headers([str(c).lstrip("\ufeff") if c is not None else None for c in head])
+    single = spark.createDataFrame([(head["record"].removeprefix("\ufeff"),)], "record string")
+    top = _cells(F.col("record"), [f"c{i}" for i in range(head["width"])])
+    headers = clean_headers(list(single.select(top.alias("c")).first()["c"]))
+    rows = records.where(F.col("position") > 0)
     warnings: list[str] = []
-    base = [f"c{i}" for i in range(len(headers))]
-
-    def rows(names: list[str], corrupt: bool) -> DataFrame:
-        fields = ", ".join(f"`{n}` string" for n in names) + (", _bad string" if corrupt else "")
-        reader = _reader(spark, multiline).option("header", True).option("enforceSchema", True)
-        if corrupt:
-            reader = reader.option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False)
-        return reader.schema(fields).csv(path)
-
-    if widen:
-        # Records that do not fit the header carry their raw text in _bad.
-        wide = rows(base, True).filter(F.col("_bad").isNotNull())
-        blank = F.replace(F.trim(F.col("_bad"), F.lit(cells.WHITESPACE)), F.lit(",")) == ""
-        # Spark refuses to read the raw-text column alone, hence the count.
-        width = wide.filter(~blank).agg(F.max(_record_width(F.col("_bad"))), F.count("c0")).first()[0] or 0
-        if width > len(headers):
-            warnings.append(RAGGED_WARNING)
-            headers = headers + [f"item_{i + 1}" for i in range(width - len(headers))]
-    names = [f"c{i}" for i in range(len(headers))]
-    table = rows(names, False)
-    filled = F.lit(False)
-    for name in names:
-        filled = filled | (cells.normalize_cell(F.col(name)) != "")
-    kept = table.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),
-    ).filter(filled)
-    numbered = positions_by_range(kept, ["_file", "_start", "_seq"], name=ROW_INDEX)
-    shown = unique_names(headers)
+    if widen and (width or 0) > len(headers):
+        warnings.append(RAGGED_WARNING)
+        headers = headers + [f"item_{i + 1}" for i in range(width - len(headers))]
+    names, shown = [f"c{i}" for i in range(len(headers))], unique_names(headers)
+    table = rows.select(F.col("row_number").alias(ROW_INDEX), _cells(F.col("record"), names).alias("c"))
     return CsvTable(
-        numbered.select(
-            ROW_INDEX, *(F.coalesce(F.col(n), F.lit("")).alias(shown[i]) for i, n in enumerate(names))
-        ),
+        table.select(ROW_INDEX, *(F.coalesce(F.col(f"c.{n}"), F.lit("")).alias(shown[i]) for i, n in enumerate(names))),
         shown,
         warnings,
     )

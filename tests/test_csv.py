@@ -1,5 +1,9 @@
+import csv
+import random
+
 import pytest
 
+from tabwright.sources import csv_records
 from tabwright.sources.csv_files import ROW_INDEX, RAGGED_WARNING, csv_summary, read_csv
 
 
@@ -38,13 +42,48 @@ def test_quoted_ragged(spark, tmp_path):
 
 def test_order_over_splits(spark, tmp_path):
     """Row numbers follow the file even when it is read in many splits."""
-    lines = "\n".join(f"{i},{'x' * 50}" for i in range(4000))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    lines = "\n".join(f"{i},{'x' * 50}" for i in range(1000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        table, rows = load(spark, tmp_path, f"k,v\n{lines}\n")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [int(r[0]) for r in rows] == list(range(1000))
+
+
+@pytest.mark.parametrize("split", [150, 1 << 20])
+def test_quoted_lines_over_many_splits(spark, tmp_path, split):
+    """Ragged rows with quoted line breaks, whatever splits they are read in, as one sequential reader gives them."""
+    rng = random.Random(6)
+    signs = ["a", "é", ",", '"', "\n", "\r\n", "\r", " ", "bc"]
+    rows = [["h1", "h2"]]
+    for _ in range(40):
+        rows.append(["".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 5, 30]))) for _ in range(rng.randint(1, 5))])
+    for name, part in (("a.csv", rows[:25]), ("b.csv", rows[:1] + rows[25:])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as file:
+            csv.writer(file, lineterminator=rng.choice(["\n", "\r\n"])).writerows(part)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
     try:
-        table, rows = load(spark, tmp_path, f"k,v\n{lines}\n", multiline=False)
+        table = read_csv(spark, str(tmp_path))
+        got = [tuple(r) for r in table.df.orderBy(ROW_INDEX).collect()]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert [int(r[0]) for r in rows] == list(range(4000))
+    want = [tuple((r + [""] * 5)[:5]) for r in rows[1:] if any(c.strip() for c in r)]
+    assert table.headers == ["h1", "h2", "item_1", "item_2", "item_3"]
+    assert [r[1:] for r in got] == want and [r[0] for r in got] == list(range(len(want)))
+
+
+def test_stray_quotes_and_open_cells():
+    assert not csv_records.ends_inside(b'5" pipe,"x"y,3', False)
+    assert csv_records.ends_inside(b'1,"a,""b', False) and csv_records.ends_inside(b'x,""y', True)
+    assert not csv_records.ends_inside(b'b",c', True) and csv_records.ends_inside(b'b",c,"', True)
+    assert csv_records.cells_in(b'"a,b",c,') == 3 and csv_records.cells_in(b'5" x,y') == 2
+    assert csv_records.is_blank(b' ,"", \t') and not csv_records.is_blank(b'","') and not csv_records.is_blank(b'""""')
+
+
+def test_a_cell_that_is_never_closed(spark, tmp_path):
+    _, rows = load(spark, tmp_path, 'a,b\n1,2\n3,"x\ny\n')
+    assert rows == [("1", "2"), ("3", "x\ny")]
 
 
 def test_no_header(spark, tmp_path):
