@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import sys
 import types
@@ -87,10 +88,14 @@ class WordCache:
 
 
 def worker_cache(name: str, size: int) -> WordCache:
-    """The cache of this name in this Python worker; the tasks that it runs one after another share it."""
+    """The cache of this name in this Python worker; the tasks that it runs one after another share it.
+
+    A worker has one cache: asking for another name drops what earlier stages
+    kept, so that a worker which lives through many stages holds one stage's words.
+    """
     shelf = sys.modules.setdefault("_tabwright_caches", types.ModuleType("_tabwright_caches"))
-    cache = getattr(shelf, name, None)
-    if cache is None:
-        cache = WordCache(size)
-        setattr(shelf, name, cache)
-    return cache
+    if getattr(shelf, "name", None) != name:
+        shelf.name, shelf.cache = name, None
+        gc.collect()
+        shelf.cache = WordCache(size)
+    return shelf.cache
