@@ -161,17 +161,19 @@ def compare_versions(
 def manifest_diff(current: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, state, stored_sha256, current_sha256, size_bytes) by full outer join.
 
-    Both sides hold one row per path with columns path, sha256, size_bytes.
+    Both sides hold one row per path with columns path, sha256, size_bytes. A
+    path is there when it has a row; one whose content nobody hashed cannot be
+    shown to be unchanged and counts as modified.
     """
     now = current.select(
-        "path", F.col("sha256").alias("current_sha256"), F.col("size_bytes").alias("_size")
+        "path", F.col("sha256").alias("current_sha256"), F.col("size_bytes").alias("_size"), F.lit(True).alias("_now")
     )
-    stored = manifest.select("path", F.col("sha256").alias("stored_sha256"))
+    stored = manifest.select("path", F.col("sha256").alias("stored_sha256"), F.lit(True).alias("_stored"))
     state = (
-        F.when(F.col("stored_sha256").isNull(), "new")
-        .when(F.col("current_sha256").isNull(), "removed")
-        .when(F.col("stored_sha256") != F.col("current_sha256"), "modified")
-        .otherwise("unchanged")
+        F.when(F.col("_stored").isNull(), "new")
+        .when(F.col("_now").isNull(), "removed")
+        .when(F.col("stored_sha256") == F.col("current_sha256"), "unchanged")
+        .otherwise("modified")
     )
     return now.join(stored, "path", "full_outer").select(
         "path", state.alias("state"), "stored_sha256", "current_sha256", F.col("_size").alias("size_bytes")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kpi", "profile", "scans", "workspace", "catalog", "series", "similar", "models")
+MODULES = ("kpi", "profile", "scans", "workspace", "catalog", "series", "similar", "models", "sources")
 
 
 def load() -> tuple[dict, dict]:

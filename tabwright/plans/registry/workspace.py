@@ -150,6 +150,13 @@ GUARDED = [
     ("SELECT id AS orders FROM secret_t", False),
     ("SELECT * FROM orders WHERE o_orderkey IN (SELECT id FROM secret_t)", False),
     ("SELECT * FROM (WITH secret_t AS (SELECT 1) SELECT * FROM secret_t) a, secret_t, orders", False),
+    ("SELECT s.id FROM IDENTIFIER('secret_t') s, orders", False),
+    ("SELECT s.id FROM IDENTIFIER('sec' || 'ret_t') s, orders", False),
+    ("SELECT s.id FROM IDENTIFIER(lower('SECRET_T')) s, orders", False),
+    ("SELECT COUNT(*) FROM orders WHERE o_orderkey = (SELECT MAX(id) FROM IDENTIFIER('secret_t'))", False),
+    ("SELECT IDENTIFIER('re' || 'flect')('java.lang.System', 'nanoTime') FROM region", False),
+    ("SELECT * FROM range(3), region", False),
+    ("SELECT n_name, v FROM nation, LATERAL (SELECT n_regionkey AS v) WHERE v > 1", True),
     ("SELECT 1", False),
     ("SHOW TABLES", False),
     ("DELETE FROM orders", False),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from tabwright.sources.csv_records import csv_records
 RAGGED_WARNING = "Ragged CSV rows detected; extra columns were padded for analysis"
 ROW_INDEX = "_row_index"
 MAX_FILE_BYTES = 250 * 1024 * 1024
+BOM = b"\xef\xbb\xbf"
 TOO_LARGE = "Uploaded file exceeds the configured size limit"
 
 
@@ -156,3 +160,44 @@ def encoding_issues(files: DataFrame) -> DataFrame:
 def file_hashes(files: DataFrame) -> DataFrame:
     """(path, sha256, size_bytes) of whole files: the input of integrity checks."""
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+
+
+def _hash_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of files from their lines in order; a file's state is one hasher, whatever its size."""
+    path, hasher, left, extra, size = None, None, 0, 0, 0
+    for batch in batches:
+        done = []
+        for r in batch.itertuples(index=False):
+            if r.path != path:
+                path, left, extra, size = r.path, r.lines, r.extra, r.size_bytes
+                hasher = hashlib.sha256(BOM if extra >= len(BOM) - 1 else b"")
+            left -= 1
+            hasher.update(r.line)
+            if left or extra in (0, len(BOM)):
+                hasher.update(b"\n")
+            if not left:
+                done.append((path, hasher.hexdigest(), size))
+        yield pd.DataFrame(done, columns=["path", "sha256", "size_bytes"])
+
+
+def stream_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, sha256, size_bytes) of whole files of any size.
+
+    Files are read as lines, in parallel, and each is hashed in order by one
+    task in the memory of a batch of lines. What the reader drops, a mark at the
+    file's start and whether its last line is ended, follows from its size.
+    Spark's readers pass over empty files, so these have no row.
+    """
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    seen = F.count(F.lit(1)) + F.sum(F.octet_length("line"))
+    facts = lines.groupBy(F.col("path").alias("of")).agg(
+        F.count(F.lit(1)).alias("lines"), (F.first("size_bytes") - seen).alias("extra")
+    )
+    in_order = lines.join(facts, F.col("path") == F.col("of")).repartition("path").sortWithinPartitions("path", "start", "number")
+    return in_order.select("path", "size_bytes", "lines", "extra", "line").mapInPandas(
+        _hash_lines, "path string, sha256 string, size_bytes long"
+    )

@@ -1,10 +1,12 @@
 import csv
+import hashlib
 import random
 
 import pytest
 
 from tabwright.sources import csv_records
-from tabwright.sources.csv_files import ROW_INDEX, RAGGED_WARNING, csv_summary, read_csv
+from tabwright.operators import catalog
+from tabwright.sources.csv_files import RAGGED_WARNING, ROW_INDEX, csv_summary, read_csv, stream_hashes
 
 
 def load(spark, tmp_path, text, **options):
@@ -89,3 +91,25 @@ def test_a_cell_that_is_never_closed(spark, tmp_path):
 def test_no_header(spark, tmp_path):
     with pytest.raises(ValueError, match="header"):
         load(spark, tmp_path, "")
+
+
+def test_hashes_of_files_in_many_splits(spark, tmp_path):
+    contents = {"a": b"\xef\xbb\xbfx,y\n1,2", "b": b"", "c": b"\n\n", "d": b"one\r\ntwo\r\n", "e": bytes(range(1, 256)) * 40,
+                "f": b"\xef\xbb\xbf1\n", "g": b"no end"}
+    for name, content in contents.items():
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = stream_hashes(spark, str(tmp_path), "*.csv").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.path[-5]: (r.sha256, r.size_bytes) for r in rows}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), len(c)) for n, c in contents.items() if c}
+
+
+def test_a_file_without_a_hash_is_not_removed(spark):
+    kind = "path string, sha256 string, size_bytes long"
+    now = spark.createDataFrame([("a", None, 9), ("b", "x", 1)], kind)
+    manifest = spark.createDataFrame([("a", "h", 9), ("c", None, 1)], kind)
+    states = {r.path: r.state for r in catalog.manifest_diff(now, manifest).collect()}
+    assert states == {"a": "modified", "b": "new", "c": "removed"}
