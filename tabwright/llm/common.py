@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import string
 import sys
@@ -41,6 +42,16 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more; what was made of them is written too."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def with_columns(rows: DataFrame, work: Callable[..., list[list]], kept: list[str], read: list[Column], made: str) -> DataFrame:
     """``kept`` columns of ``rows`` as they are and the columns ``made``, worked out from the columns ``read``.
 
@@ -99,3 +110,30 @@ def worker_cache(name: str, size: int) -> WordCache:
         gc.collect()
         shelf.cache = WordCache(size)
     return shelf.cache
+
+
+def release() -> None:
+    """Give back what this Python worker no longer uses.
+
+    Workers outlive stages, so what an earlier stage cached or a large batch
+    left free would stay beside what the executor needs later.
+    """
+    shelf = sys.modules.get("_tabwright_caches")
+    if shelf is not None and getattr(shelf, "cache", None) is not None:
+        shelf.name = shelf.cache = None
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim is not None:
+        trim(0)
+
+
+def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that releases memory before the first and after the last."""
+
+    def run(batches: Iterator) -> Iterator:
+        release()
+        yield from work(batches)
+        release()
+
+    return run
