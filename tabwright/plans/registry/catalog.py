@@ -111,9 +111,9 @@ def _insights(spark, folder):
 
 def _resolved(action):
     def run(spark, folder):
-        known = catalog.unique_contents(files(spark, folder).filter(F.col("source") == "web"), "file_id", "arrived")
+        known = catalog.unique_contents(files(spark, folder).filter(F.col("source") == "src0"), "file_id", "arrived")
         base = known.select(F.col("canonical").alias("file_id"), "file_hash")
-        incoming = files(spark, folder).filter(F.col("source") != "web").select("file_id", "file_hash")
+        incoming = files(spark, folder).filter(F.col("source") != "src0").select("file_id", "file_hash")
         return catalog.resolve_uploads(incoming, base, action).select("file_id", "existing_id", "outcome", "result")
 
     return run
@@ -130,7 +130,7 @@ QUERIES = {
     "resolve_duplicate_uploads": _resolved(None),
     "resolve_use_existing": _resolved("use_existing"),
     "new_contents": lambda s, d: catalog.new_contents(
-        files(s, d).filter(F.col("source") != "web"), files(s, d).filter(F.col("source") == "web")
+        files(s, d).filter(F.col("source") != "src0"), files(s, d).filter(F.col("source") == "src0")
     ).select("file_id"),
     "declared_hash_check": lambda s, d: files(s, d)
     .withColumn(
@@ -139,7 +139,7 @@ QUERIES = {
     )
     .select("file_id", catalog.declared_hash_issue(F.col("declared"), F.col("file_hash")).alias("issue")),
     "recent_uploads": lambda s, d: catalog.recent_uploads(
-        files(s, d), "arrived", "file_id", "source", "web", active=F.col("size_bytes") > 100
+        files(s, d), "arrived", "file_id", "source", "src0", active=F.col("size_bytes") > 100
     ).select("file_id", "arrived"),
     "version_numbers": lambda s, d: _versions(s, d).select("id", "file_id", "version_number"),
     "latest_versions": lambda s, d: catalog.latest_versions(events(s, d), "file_id", "created_at", "id"),
@@ -197,14 +197,14 @@ old AS (SELECT path, CASE WHEN file_id % 4 = 0 THEN sha256(file_hash || 'x') ELS
 df AS (SELECT coalesce(c.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN c.path IS NULL THEN 'removed'
  WHEN o.sha256 <> c.sha256 THEN 'modified' ELSE 'unchanged' END AS state, o.sha256 AS stored_sha256, c.sha256 AS current_sha256, c.size_bytes
  FROM cur c FULL JOIN old o ON c.path = o.path)"""
-_KNOWN = "known AS (SELECT file_hash, arg_min(file_id, arrived) AS existing_id FROM files WHERE source = 'web' GROUP BY 1)"
+_KNOWN = "known AS (SELECT file_hash, arg_min(file_id, arrived) AS existing_id FROM files WHERE source = 'src0' GROUP BY 1)"
 
 
 def _resolve_sql(action: str, result: str) -> str:
     return f"""WITH {FILES}, {_KNOWN}
 SELECT f.file_id, k.existing_id, CASE WHEN k.existing_id IS NULL THEN 'store' ELSE '{action}' END AS outcome,
  CASE WHEN k.existing_id IS NULL THEN 'success' ELSE '{result}' END AS result
-FROM files f LEFT JOIN known k USING (file_hash) WHERE f.source <> 'web'"""
+FROM files f LEFT JOIN known k USING (file_hash) WHERE f.source <> 'src0'"""
 
 
 _INSIGHT = """'Fallback insight for ' || result_type || ': ' || CASE WHEN seq % 3 <> 2 THEN 'the ' || result_type ||
@@ -218,9 +218,9 @@ SQL = {
     "row_hashes": """SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS row_hash FROM nation""",
     "resolve_duplicate_uploads": _resolve_sql("duplicate_detected", "pending"),
     "resolve_use_existing": _resolve_sql("use_existing", "success"),
-    "new_contents": f"WITH {FILES} SELECT file_id FROM files WHERE source <> 'web' AND file_hash NOT IN (SELECT file_hash FROM files WHERE source = 'web')",
+    "new_contents": f"WITH {FILES} SELECT file_id FROM files WHERE source <> 'src0' AND file_hash NOT IN (SELECT file_hash FROM files WHERE source = 'src0')",
     "declared_hash_check": f"""WITH {FILES} SELECT file_id, CASE WHEN file_id % 3 = 1 THEN 'Client SHA-256 hash must be 64 hex characters' END AS issue FROM files""",
-    "recent_uploads": f"WITH {FILES} SELECT file_id, arrived FROM files WHERE size_bytes > 100 AND source = 'web' ORDER BY arrived DESC LIMIT 20",
+    "recent_uploads": f"WITH {FILES} SELECT file_id, arrived FROM files WHERE size_bytes > 100 AND source = 'src0' ORDER BY arrived DESC LIMIT 20",
     "version_numbers": f"WITH {VERSIONS} SELECT id, file_id, version_number FROM ev",
     "latest_versions": f"WITH {VERSIONS} SELECT file_id, max(version_number) AS version_number, arg_max(id, version_number) AS latest FROM ev GROUP BY 1",
     "version_get": f"WITH {VERSIONS} SELECT id, upload_event FROM ev WHERE file_id = 3 AND version_number = 5",

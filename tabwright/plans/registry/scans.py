@@ -54,7 +54,7 @@ QUERIES = {
     "scan_latest": lambda s, d: scan.latest_scan(_scans(s, d), "source", "doc_id", "doc_id").select(
         "source", "doc_id", "status", "risk_score"
     ),
-    "scan_history": lambda s, d: scan.scan_history(_scans(s, d), "source", "web", "doc_id", "file_hash").select(
+    "scan_history": lambda s, d: scan.scan_history(_scans(s, d), "source", "src0", "doc_id", "file_hash").select(
         "doc_id", "status"
     ),
     "filename_rules": lambda s, d: risky_documents(s, d).select(
@@ -112,7 +112,7 @@ SELECT * EXCLUDE (file_hash) FROM scans""",
     "scan_totals": f"{_DOCS} SELECT status, count(*) AS units, round(avg(risk_score), 4) AS mean_risk FROM scans GROUP BY status",
     "scan_latest": f"""{_DOCS} SELECT source, doc_id, status, risk_score FROM scans
  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1""",
-    "scan_history": f"{_DOCS} SELECT doc_id, status FROM scans WHERE source = 'web'",
+    "scan_history": f"{_DOCS} SELECT doc_id, status FROM scans WHERE source = 'src0'",
     "filename_rules": f"""WITH {RISKY} SELECT name, {_NAME_ISSUE} AS issue,
  CASE WHEN {_NAME_ISSUE.replace(chr(10), ' ')} IS NULL THEN regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g') END AS cleaned FROM risky""",
 }
