@@ -1,20 +1,15 @@
 """Forecasts of dated series: moving average, AR, ARIMA and seasonal ARIMA.
 
-Every algorithm is fitted with Spark aggregates (lag windows over bounded blocks
-and sums of products) and ends in a linear recurrence: lag weights, an intercept
-and the last observed values. Only these few numbers per series reach Python.
-A forecast of any length is cut into blocks of steps that run in parallel.
-
-ARIMA and seasonal ARIMA are fitted by two-stage lag regression (Hannan and
-Rissanen, 1982) instead of maximum likelihood, and the seasonal AR term is
-additive; results of these two are therefore close to, not equal to, an MLE fit.
+Every algorithm ends in a linear recurrence: lag weights, an intercept and the
+last observed values. Autoregressions are fitted with Spark aggregates (lag
+windows over bounded blocks and sums of products), ARIMA and seasonal ARIMA by
+exact likelihood over blocks (``likelihood``). A forecast of any length is cut
+into blocks of steps that run in parallel.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -23,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions import cells
+from tabwright.operators import likelihood
 from tabwright.plans.ordering import positions_by_label, positions_by_range, with_lags
 from tabwright.session import cut_lineage
 
@@ -37,8 +33,8 @@ ALGORITHMS = {
 FIT_NOTES = {
     "moving_average": "exact recursive mean",
     "autoregressive": "conditional least squares",
-    "arima": "two-stage lag regression, not maximum likelihood",
-    "sarimax": "two-stage lag regression with an additive seasonal lag, not maximum likelihood",
+    "arima": "exact Gaussian likelihood",
+    "sarimax": "exact Gaussian likelihood with a multiplicative seasonal lag",
 }
 
 
@@ -271,80 +267,32 @@ def _autoregressive(scoped: DataFrame, ids: list[str], lags: int) -> DataFrame:
 
 
 def _arima(scoped: DataFrame, ids: list[str], order: tuple[int, int, int], season: int | None) -> DataFrame:
-    """ARIMA(p,d,q), optionally with one seasonal AR lag, by two lag regressions."""
-    p, d, q = order
-    rows = scoped
-    if d:
-        rows = with_lags(rows, ids, "pos", {f"d{k}": ("value", k) for k in range(1, d + 1)})
-        terms = [F.col("value"), *((-1) ** k * comb(d, k) * F.col(f"d{k}") for k in range(1, d + 1))]
-        rows = rows.filter(F.col("pos") >= d).withColumn("w", reduce(lambda a, b: a + b, terms))
-    else:
-        rows = rows.withColumn("w", F.col("value"))
-    ar = sorted({*range(1, p + 1), *([season] if season else [])})
-    constant = d == 0
-    long_order = p + q + 2
-    depth = max([long_order if q else 0, *ar, 1])
-    rows = with_lags(rows, ids, "pos", {f"x{k}": ("w", k) for k in range(1, depth + 1)})
-    extra: list[str] = []
-    first_use = F.col("pos") >= d + max([*ar, 0])
-    if q:
-        # Stage one: a long autoregression whose residuals stand in for the shocks.
-        m = F.greatest(F.lit(1), F.least(F.lit(long_order), F.floor((F.col("size") - d) / 3)))
-        masked = rows
-        for k in range(1, long_order + 1):
-            masked = masked.withColumn(f"x{k}", F.when(m >= k, F.col(f"x{k}")))
-        names = list(range(1, long_order + 1))
-        long_fit = _lag_regression(masked, ids, "w", names, F.col("pos") >= d + m, constant, [])
-        predictors = ([F.lit(1.0)] if constant else []) + [
-            F.coalesce(F.when(m >= k, F.col(f"x{k}")), F.lit(0.0)) for k in names
-        ]
-        fitted = reduce(
-            lambda a, b: a + b,
-            [F.get("beta", F.lit(i)) * x for i, x in enumerate(predictors)],
-        )
-        shock = F.when(F.col("pos") >= d + m, F.col("w") - fitted).otherwise(F.lit(0.0))
-        rows = rows.join(long_fit, ids).withColumn("e", shock).drop("beta")
-        rows = with_lags(rows, ids, "pos", {f"e{k}": ("e", k) for k in range(1, q + 1)})
-        extra = [f"e{k}" for k in range(1, q + 1)]
-        first_use = first_use & (F.col("pos") >= d + m + q)
-    width = len(ar) + len(extra) + int(constant)
+    """ARIMA(p,d,q), with one multiplicative seasonal AR lag where there is a season, by exact likelihood."""
+    orders = arima_orders(order, season)
     facts = scoped.groupBy(*ids).agg(F.max("steps").alias("steps"))
-    reach = max([*ar, 0]) + d
-    tails = _tails(scoped, ids, "value", max(reach, 1), "tail")
-    models = facts.join(tails, ids)
-    if width:
-        models = models.join(_lag_regression(rows, ids, "w", ar, first_use, constant, extra), ids)
-    else:
-        models = models.withColumn("beta", F.array().cast("array<double>"))
-    if q:
-        models = models.join(_tails(rows, ids, "e", q, "shocks"), ids)
-    base = int(constant)
-    phi = {k: F.get("beta", F.lit(base + i)) for i, k in enumerate(ar)}
-    theta = [F.get("beta", F.lit(base + len(ar) + i)) for i in range(q)]
-    # (1 - phi(B)) (1 - B)^d expanded into weights on past values.
-    poly: dict[int, Column] = {}
-    for k, sign in [(0, F.lit(1.0)), *((k, -c) for k, c in phi.items())]:
-        for j in range(d + 1):
-            term = sign * F.lit(float((-1) ** j * comb(d, j)))
-            poly[k + j] = poly[k + j] + term if k + j in poly else term
-    weights = [-poly[k] if k in poly else F.lit(0.0) for k in range(1, max(reach, 1) + 1)]
-    impulses = [
-        reduce(
-            lambda a, b: a + b,
-            [theta[j - 1] * F.coalesce(F.get("shocks", F.size("shocks") - 1 + h - j), F.lit(0.0)) for j in range(h, q + 1)],
-        )
-        for h in range(1, q + 1)
-    ]
-    return models.select(
-        *ids,
-        "steps",
-        F.array(*weights).alias("weights"),
-        (F.get("beta", F.lit(0)) if constant else F.lit(0.0)).alias("intercept"),
-        "tail",
-        (F.array(*impulses) if impulses else F.array().cast("array<double>")).alias("impulses"),
+    tails = _tails(scoped, ids, "value", orders.width + orders.lost, "tail")
+    fits = likelihood.fit(scoped.select(*ids, "pos", "value"), ids, orders)
+    return facts.join(likelihood.recurrences(fits, tails, ids, orders), ids).select(
+        *ids, "steps", "weights", "intercept", "tail", "impulses"
     )
 
 
+def arima_orders(order: tuple[int, int, int], season: int | None = None) -> likelihood.Orders:
+    """Orders of ARIMA, or of seasonal ARIMA with one seasonal AR lag."""
+    return likelihood.Orders(*order, seasonal_p=1, season=season) if season else likelihood.Orders(*order)
+
+
+def arima_fits(
+    df: DataFrame, date: str, value: str, order_by: str, orders: likelihood.Orders, keys: list[str]
+) -> DataFrame:
+    """Parameters, likelihood and AIC of every series with enough rows to forecast (``likelihood.parameters``)."""
+    calendar = cells.is_time_field(cells.field_of(df, date))
+    series = positioned(load_series(df, date, value, order_by, keys), order_by, keys, calendar)
+    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(MIN_SERIES, 2 * orders.season))
+    fits = likelihood.fit(series.join(sizes, keys).select(*keys, "pos", "value"), keys, orders)
+    return likelihood.parameters(fits, keys, orders)
+
+
 def _models(scoped: DataFrame, ids: list[str], spec: ForecastSpec) -> DataFrame:
     if spec.algorithm == "moving_average":
         return _moving_average(scoped, ids, spec.window)

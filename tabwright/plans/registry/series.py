@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabwright.functions import cells
 from tabwright.operators import forecast as fc
 from tabwright.operators import plugins
+from tabwright.operators.likelihood import Orders
 from tabwright.plans.ordering import positions_by_label, positions_by_range, with_lags
 from tabwright.sources.tables import table
 from tabwright.streaming import events as ev
@@ -96,6 +97,23 @@ QUERIES = {
     "sarimax_forecast": lambda s, d: fc.forecast(
         daily_types(s, d), "day", "total", "k", fc.ForecastSpec("sarimax", order=(1, 0, 1), seasonal_period=7), ["event_type"]
     ).future,
+    "arima_110_fits": lambda s, d: fc.arima_fits(
+        daily_types(s, d), "day", "total", "k", Orders(1, 1, 0), ["event_type"]
+    ).select(
+        "event_type", "rows", F.round(F.get("ar", F.lit(0)), 5).alias("ar"), F.round(F.log("variance"), 5).alias("log_variance"),
+        F.round("loglik", 4).alias("loglik"), "converged",
+    ),
+    "arima_110_forecast": lambda s, d: fc.forecast(
+        daily_types(s, d), "day", "total", "k", fc.ForecastSpec("arima", order=(1, 1, 0)), ["event_type"]
+    ).future.select("event_type", "step", F.round("forecast", 2).alias("forecast")),
+    "sarima_fits": lambda s, d: fc.arima_fits(
+        daily_types(s, d), "day", "total", "k", Orders(1, 0, 1, seasonal_p=1, season=7), ["event_type"]
+    ),
+    "sarima_seasonal_fits": lambda s, d: fc.arima_fits(
+        daily_types(s, d), "day", "total", "k", Orders(0, 0, 0, seasonal_p=1, seasonal_d=1, season=7), ["event_type"]
+    ).select(
+        "event_type", "rows", F.round(F.get("ar", F.lit(6)), 4).alias("ar7"), F.round("loglik", 3).alias("loglik"), "converged"
+    ),
     "zscore_flags": lambda s, d: plugins.fraud_summary(table(s, d, "lineitem"), LINE_NUMBERS, "l_orderkey"),
     "zscore_rows": lambda s, d: plugins.fraud_flags(orders(s, d), ["o_totalprice", "o_custkey"], "o_orderkey").select(
         "o_orderkey", F.round("max_abs_z", 6).alias("max_abs_z"), "flagged"
@@ -132,7 +150,32 @@ r AS (SELECT k, a, b, c, steps FROM h),
 w AS (WITH RECURSIVE g(k, a, b, c, steps) AS (SELECT * FROM r UNION ALL SELECT k + 1, b, c, (a + b + c) / 3, steps FROM g WHERE k < steps)
  SELECT k, c AS f FROM g WHERE k > 0)"""
 
+# A stationary first-order autoregression's likelihood has one maximum, where g changes its sign: halve [-1, 1] 60 times.
+_HALVED = """WITH RECURSIVE days AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY ALL),
+r AS (SELECT event_type, total, row_number() OVER (PARTITION BY event_type ORDER BY day) AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM days),
+x AS (SELECT *, total - lag(total, {lag}) OVER (PARTITION BY event_type ORDER BY pos) AS w FROM r),
+y AS (SELECT *, lag(w, {lag}) OVER (PARTITION BY event_type ORDER BY pos) AS v FROM x WHERE w IS NOT NULL),
+a AS (SELECT event_type, count(*) AS m, sum(w * w) AS s0, coalesce(sum(w * v), 0) AS s1,
+ coalesce(sum(w * w) FILTER (v IS NOT NULL AND pos <= n - {lag}), 0) AS s2, {last} AS y0, {former} AS y1 FROM y WHERE n >= {least} GROUP BY event_type),
+h(event_type, k, lo, hi) AS (SELECT event_type, 0, -1.0::DOUBLE, 1.0::DOUBLE FROM a UNION ALL
+ SELECT h.event_type, k + 1, CASE WHEN g > 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN g > 0 THEN (lo + hi) / 2 ELSE hi END
+ FROM (SELECT h.*, m * (p * s2 - s1) * (1 - p * p) + {lag} * p * (s0 - 2 * p * s1 + p * p * s2) AS g
+  FROM (SELECT *, (lo + hi) / 2 AS p FROM h) h JOIN a USING (event_type)) h WHERE k < 60),
+f AS (SELECT a.*, lo AS phi, (s0 - 2 * lo * s1 + lo * lo * s2) / m AS var FROM h JOIN a USING (event_type) WHERE k = 60),
+l AS (SELECT *, -m / 2.0 * (ln(2 * pi()) + 1 + ln(var)) + {lag} / 2.0 * ln(1 - phi * phi) AS loglik FROM f)
+"""
+_FIRST = _HALVED.format(
+    lag=1, least=12, last="max(CASE WHEN pos = n THEN total END)", former="max(CASE WHEN pos = n - 1 THEN total END)"
+)
+
 SQL = {
+    "arima_110_fits": _FIRST + """SELECT event_type, m AS rows, round(phi, 5) AS ar, round(ln(var), 5) AS log_variance, round(loglik, 4) AS loglik,
+ true AS converged FROM l""",
+    "arima_110_forecast": _FIRST + """, g(event_type, phi, k, b, c) AS (SELECT event_type, phi, CAST(0 AS BIGINT), y1, y0 FROM f
+ UNION ALL SELECT event_type, phi, k + 1, c, c + phi * (c - b) FROM g WHERE k < 5)
+SELECT event_type, k AS step, round(round(c, 4), 2) AS forecast FROM g WHERE k > 0""",
+    "sarima_seasonal_fits": _HALVED.format(lag=7, least=14, last="0", former="0")
+    + "SELECT event_type, m AS rows, round(phi, 4) AS ar7, round(loglik, 3) AS loglik, true AS converged FROM l",
     "series_load": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, o_totalprice AS value, o_orderkey FROM orders",
     "series_positions": f"WITH {SERIES} SELECT o_orderkey, pos FROM s",
     "series_positions_range": "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM events",

@@ -62,3 +62,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         return tempfile.mkdtemp(prefix=f"tabwright-{name}-")
     return f"{configured.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back; unlike a checkpoint it is computed once."""
+    folder = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,11 +1,12 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import forecast as fc
-from tabwright.operators import plugins, similarity
+from tabwright.operators import likelihood, plugins, similarity
 from tabwright.plans import blocks, split
 from tabwright.plans.ordering import positions_by_label, positions_by_range, with_lags
 from tabwright.plans.split import allocate, mark_test_rows, split_rows, stratifiable
@@ -77,6 +78,104 @@ def test_arima_recovers_process(spark):
     assert row["impulses"][0] == pytest.approx(0.4 * e[-1], abs=0.15)
 
 
+def _dense(z, free, orders):
+    """The criterion by the covariance matrix of all values."""
+    phi, theta, mean = (x[0] for x in likelihood.coefficients(np.asarray(free, dtype=float)[None], orders))
+    reach, n = 4000, len(z)
+    psi = np.zeros(reach)
+    psi[0] = 1
+    for t in range(1, reach):
+        back = psi[max(0, t - len(phi)) : t][::-1]
+        psi[t] = phi[: len(back)] @ back + (theta[t - 1] if t <= len(theta) else 0)
+    cov = np.array([psi[: reach - k] @ psi[k:] for k in range(n)])[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    x = np.asarray(z) - mean
+    return np.log(x @ np.linalg.solve(cov, x) / n) + np.linalg.slogdet(cov)[1] / n
+
+
+@pytest.mark.parametrize("orders", [
+    likelihood.Orders(1, 0, 1, 1, 0, 1, 4), likelihood.Orders(2, 1, 0), likelihood.Orders(0, 1, 2, 1, 1, 0, 3), likelihood.Orders(0, 0, 0),
+])
+def test_likelihood_of_blocks_is_dense_likelihood(orders):
+    rng = np.random.default_rng(3)
+    z, free = rng.normal(size=37), rng.normal(size=(2, orders.free))
+    cuts, rows = [0, 10, 20, 30, 37], []
+    for i in (2, 0, 3, 1):
+        s, b, last = likelihood.follow([z[cuts[i] : cuts[i + 1]]], free[None], orders)
+        rows.append({"block": i, "length": cuts[i + 1] - cuts[i], "size": 2, "trials": free.ravel(), "s": s.ravel(), "b": b.ravel(), "last": last.ravel()})
+    value, _, _ = likelihood.criterion(free, *likelihood.combined(pd.DataFrame(rows), "block", orders), orders)
+    assert value == pytest.approx([_dense(z, f, orders) for f in free], abs=1e-9)
+
+
+def _seasonal(rng, n, phi, seasonal, season):
+    e, y = rng.normal(size=n + 200), np.zeros(n + 200)
+    for t in range(season + 1, n + 200):
+        y[t] = phi * y[t - 1] + seasonal * y[t - season] - phi * seasonal * y[t - season - 1] + e[t]
+    return y[200:]
+
+
+def test_seasonal_fit_is_multiplicative_and_a_maximum(spark):
+    """Parameters near the true ones, lag 5 the product of lags 1 and 4, no neighbour better; the cut into blocks is irrelevant."""
+    rng = np.random.default_rng(5)
+    series = {"a": _seasonal(rng, 1500, 0.5, 0.6, 4), "b": _seasonal(rng, 40, -0.4, 0.3, 4)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, ys in series.items() for i, v in enumerate(ys)], "k string, pos long, value double")
+    orders = likelihood.Orders(1, 0, 0, seasonal_p=1, season=4)
+    fits = {r["k"]: r for r in likelihood.fit(df, ["k"], orders, block=300, run=4).collect()}
+    whole = {r["k"]: r for r in likelihood.fit(df, ["k"], orders).collect()}
+    told = {r["k"]: r for r in likelihood.parameters(spark.createDataFrame(list(fits.values())), ["k"], orders).collect()}
+    assert all(r["converged"] for r in fits.values())
+    for k in fits:
+        assert fits[k]["free"] == pytest.approx(whole[k]["free"], abs=1e-6)
+        ar = told[k]["ar"]
+        assert ar[4] == pytest.approx(-ar[0] * ar[3]) and ar[1:3] == pytest.approx([0, 0])
+    assert told["a"]["ar"][0] == pytest.approx(0.5, abs=0.08) and told["a"]["ar"][3] == pytest.approx(0.6, abs=0.08)
+    assert abs(told["a"]["ar"][4]) > 0.2 and told["a"]["variance"] == pytest.approx(1, abs=0.1)
+    r = fits["b"]
+    z = (series["b"] - r["centre"]) / r["scale"]
+    best = _dense(z, r["free"], orders)
+    for i in range(3):
+        for step in (-1e-2, 1e-2):
+            moved = list(r["free"])
+            moved[i] += step
+            assert _dense(z, moved, orders) > best
+    assert r["loglik"] == pytest.approx(-20 * (best + 1 + np.log(2 * np.pi)) - 40 * np.log(r["scale"]), abs=1e-6)
+
+
+def test_fit_of_odd_series(spark):
+    """A constant series, a very short one, no difference left to model, and an empty table."""
+    rows = [("flat", i, 7.0) for i in range(20)] + [("short", i, float(i * i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, pos long, value double")
+    got = {r["k"]: r for r in likelihood.fit(df, ["k"], likelihood.Orders(1, 1, 1)).collect()}
+    assert got["flat"]["rows"] == 19 and got["short"]["rows"] == 2 and got["flat"]["scale"] == 1
+    walk = likelihood.fit(df.where("k = 'short'"), ["k"], likelihood.Orders(0, 1, 0)).first()
+    assert walk["converged"] and walk["variance"] == pytest.approx((1 + 9) / 2)
+    assert likelihood.fit(df.where("false"), ["k"], likelihood.Orders(1, 0, 0)).count() == 0
+
+
+def test_forecast_follows_from_likelihood(spark):
+    """Differenced twice over and seasonal: the recurrence gives the conditional expectation."""
+    rng = np.random.default_rng(8)
+    y = np.cumsum(_seasonal(rng, 60, 0.4, 0.5, 4)) + 100
+    orders = likelihood.Orders(1, 1, 1, seasonal_p=1, season=4)
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(y)], "k int, pos long, value double")
+    fits = likelihood.fit(df, ["k"], orders, block=16)
+    tails = spark.createDataFrame([(0, [float(v) for v in y[-7:]])], "k int, tail array<double>")
+    r = likelihood.recurrences(fits, tails, ["k"], orders).first()
+    got = fc._recurrence(r["weights"], r["intercept"], r["tail"], r["impulses"], 0, 6)
+    fit = fits.first()
+    phi, theta, _ = (x[0] for x in likelihood.coefficients(np.asarray(fit["free"])[None], orders))
+    w, n = np.diff(y), 59
+    psi = np.zeros(4000)
+    psi[0] = 1
+    for t in range(1, 4000):
+        back = psi[max(0, t - len(phi)) : t][::-1]
+        psi[t] = phi[: len(back)] @ back + (theta[t - 1] if t <= len(theta) else 0)
+    auto = np.array([psi[: 4000 - k] @ psi[k:] for k in range(n + 6)])
+    cov = auto[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    solved = np.linalg.solve(cov, w)
+    want = y[-1] + np.cumsum([auto[n + h - np.arange(n)] @ solved for h in range(6)])
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_recurrence_blocks():
     weights, tail, impulses = [0.5, 0.3, 0.1], [1.0, 2.0, 3.0], [0.1, 0.2]
     whole = fc._recurrence(weights, 0.2, tail, impulses, 0, 50)
