@@ -292,6 +292,48 @@ def test_passages_are_found_and_verified(spark):
     assert len({r.doc_id for r in found}) == len(holders) - 1
 
 
+@pytest.mark.parametrize("size", [50, 52, 54, 60])
+def test_an_edit_anywhere_in_a_passage_is_alike(size):
+    """Wherever one word of a repeated passage is changed: similar where some window of 46 shingles is, by brute force."""
+    rng = np.random.default_rng(size)
+    for at in range(size):
+        body = rng.integers(1, 1 << 60, size).astype(np.uint64)
+        edited = body.copy()
+        edited[at] = 7
+        lead, tail, far, end = (rng.integers(1, 1 << 60, 40).astype(np.uint64) for _ in range(4))
+        one = passages.shingles(np.concatenate([lead, body, tail]))
+        other = passages.shingles(np.concatenate([far[:25], edited, end]))
+        best = 0.0
+        for i in range(len(one) - 45):
+            j = i - 15
+            if 0 <= j <= len(other) - 46:
+                a, b = set(one[i : i + 46].tolist()), set(other[j : j + 46].tolist())
+                best = max(best, len(a & b) / len(a | b))
+        found = passages.alike(one, other, 46)
+        assert bool(found) == (best >= 0.8) and best >= 0.8, (size, at, best)
+        for a, b, c, d, score in found:
+            x, y = set(one[a:b].tolist()), set(other[c:d].tolist())
+            assert b - a >= 46 and score == pytest.approx(len(x & y) / len(x | y)) and score >= 0.8
+
+
+def test_equal_texts_stand_behind_one(spark):
+    """A thousand equal texts, a text that shares a passage with them, short equal texts: one row a copy, one passage link."""
+    body = prose(120, 31)
+    words = body.split()
+    docs = [(i, body if i % 2 else body.upper()) for i in range(1000)] + [(2000, f"{prose(60, 32)} {' '.join(words[20:90])} {prose(60, 33)}")]
+    docs += [(3000 + i, "too short to count") for i in range(5)] + [(4000, None), (4001, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = passages.repeated_passages(frame).collect()
+    whole = [r for r in found if 2000 not in (r.doc_id, r.other_doc_id)]
+    assert len(whole) == 999 and len({r.other_id for r in whole}) == 1 and len({r.id for r in whole}) == 999
+    assert {(r.first_word, r.end_word, r.similarity) for r in whole} == {(0, 120, 1.0)}
+    links = [r for r in found if 2000 in (r.doc_id, r.other_doc_id)]
+    assert len(links) == 1 and links[0].id > links[0].other_id
+    left = passages.cut_repeats(frame).collect()
+    assert sum(" ".join(words[30:80]) in r.text.lower() for r in left if r.text) == 1
+    assert sum(r.doc_id >= 3000 for r in left) >= 5
+
+
 def test_cutting_repeats_leaves_one_copy(spark):
     docs = spark.createDataFrame([(i, t, len(t), i) for i, t in _passage_docs()], "doc_id long, text string, n_chars long, id int")
     cut = passages.cut_repeats(docs).collect()
