@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tabwright.llm.common import worker_cache
 
@@ -64,6 +65,8 @@ class WordBpe:
         split = tokenizer["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
         self.spaces = regex.compile(f"[{SPACE}]+")
+        self.spec = spec
+        self.library: Tokenizer | None = None
         self.cache = worker_cache(f"spelt_{zlib.crc32(spec.encode())}", CACHED_WORDS)
 
     def merge(self, parts: list[int]) -> list[int]:
@@ -104,7 +107,14 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def encode_word(self, word: str) -> list[int]:
-        """The ids of one run that holds no white space."""
+        """The ids of one run that holds no white space.
+
+        Characters that this Python's Unicode tables do not know may be letters,
+        with a case and a decomposition, in those of the library; a word with
+        one is encoded by the library itself.
+        """
+        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+            return self._newer(word)
         ids: list[int] = []
         text = unicodedata.normalize("NFC", word)
         # Letter by letter where the final form of sigma would depend on the context.
@@ -115,6 +125,13 @@ class WordBpe:
             ids += self.merge([self.vocab[p] for p in parts])
         return ids
 
+    def _newer(self, word: str) -> list[int]:
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.spec)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(word, add_special_tokens=False).ids
+
     def _entry(self, word: str) -> tuple[int, str, str]:
         known = self.cache.recall(word)
         if known is not None:

@@ -31,6 +31,8 @@ FILE_LEVELS = 6
 #: Hex digits of a file name's hash that the nodes above the files share.
 PREFIXES = (6, 4, 2, 0)
 RECORDS_PER_FILE = 256
+#: Bytes of a gzip member that are unpacked at once.
+SLICE = 1 << 14
 HEAD, BREAK = b"WARC/", b"\r\n\r\n"
 
 
@@ -64,16 +66,19 @@ def parse_records(data: bytes) -> Iterator[tuple[int, bytes]]:
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
+            # Fed in slices, a member costs its own bytes and at most one slice more, not the rest of the file.
+            member, parts, here = zlib.decompressobj(31), [], at
             try:
-                record = member.decompress(data[at:])
+                while not member.eof and here < len(data):
+                    parts.append(member.decompress(data[here : here + SLICE]))
+                    here += SLICE
             except zlib.error:
-                record = b""
+                pass
             if not member.eof:
                 yield at, data[at:]
                 return
-            yield at, record
-            at = len(data) - len(member.unused_data)
+            yield at, b"".join(parts)
+            at = min(here, len(data)) - len(member.unused_data)
             continue
         end = data.find(BREAK, at)
         size = -1
@@ -91,7 +96,10 @@ def parse_records(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, payload) of every record of WARC files; a file is one task's memory, as WARC files are cut for that."""
+    """(file, offset, payload) of every record of WARC files; a file is one task's memory, as WARC files are cut for that.
+
+    An empty file has no records; what is damaged or cut off is one record up to the file's end.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

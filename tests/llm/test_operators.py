@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -230,6 +231,20 @@ def test_warc_files_are_read_record_by_record(spark, tmp_path):
     assert by["c.warc"] == [records[1], b"WARC/1.1 cut off"]
 
 
+def test_gzip_members_of_any_size_are_cut_where_they_end():
+    import gzip
+
+    rng = random.Random(8)
+    records = [rng.randbytes(n) for n in (0, 1, fixity.SLICE - 30, fixity.SLICE, 3 * fixity.SLICE, 7)] * 3
+    members = [gzip.compress(r) for r in records]
+    starts = [sum(map(len, members[:k])) for k in range(len(members))]
+    assert list(fixity.parse_records(b"".join(members))) == list(zip(starts, records))
+    broken = b"".join(members[:5]) + members[4][:-9]
+    assert list(fixity.parse_records(broken))[5:] == [(starts[5], members[4][:-9])]
+    many = gzip.compress(b"x") * 50_000
+    assert sum(1 for _ in fixity.parse_records(many)) == 50_000 and not list(fixity.parse_records(b""))
+
+
 # --- passages
 
 
@@ -547,6 +562,12 @@ def test_bpe_equals_the_library(messy, nothing):
         ids = library.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids, repr(text)
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    # Every code point that Python's Unicode tables lack, in a word of its own and between letters.
+    newer = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and c < 0x30000]
+    for low in range(0, len(newer), 20000):
+        texts = [f"{c} a{c}B" for c in newer[low : low + 20000]]
+        ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [own.encode(t) for t in texts] == ids
     long = "ab" * 4000 + "thing" * 2000
     assert own.encode(long) == library.encode(long, add_special_tokens=False).ids
     assert own.decode_text(own.encode("Héllo wörld")) == "héllo wörld"
