@@ -2,8 +2,8 @@
 
 import hashlib
 import random
-import unicodedata
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
