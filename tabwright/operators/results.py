@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +13,19 @@ RESULT_SCHEMA = (
     "result_id string, file_id bigint, result_type string, algorithm string, "
     "metrics map<string,string>, payload string, created_at timestamp"
 )
+#: Payload of a saved fit: fields of fixed size. Predictions are a table of their own, as there is one per row.
+FIT_SCHEMA = "model_type string, save_id string, feature_importance array<struct<feature: string, importance: double>>"
+PREDICTION_SCHEMA = "idx string, actual string, predicted string, confidence double, result_id string, save_id string"
+# The texts that go with an explanation.
+EXPLAINED_BY = {
+    "regression": (
+        "Feature importance is based on model coefficients or tree impurity importance. "
+        "SHAP is not computed in this lightweight runtime."
+    ),
+    "classification": (
+        "Classification explainability includes prediction confidence where the selected estimator exposes probabilities."
+    ),
+}
 UNSUPPORTED_SHAP = (
     "SHAP values are not available in this local build. Use feature importance and "
     "confidence summaries as the fallback explanation."
@@ -31,6 +47,96 @@ def save_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").parquet(path)
 
 
+def save_fit(fit, folder: str, result_id: str, file_id: int, result_type: str, created_at: dt.datetime | None = None) -> None:
+    """Save a fit of ``run_regression`` or ``run_classification`` below ``folder``.
+
+    Its predictions go to ``folder``/predictions, partitioned by result and
+    save, and one row with metrics and importance to ``folder``/results, which
+    is written last: a save that was broken off is never read, and saving again
+    under the same id replaces the former save for readers.
+    """
+    if result_type not in EXPLAINED_BY:
+        raise ValueError(f"Not a fitted model: {result_type}")
+    save_id = uuid.uuid4().hex
+    given = {"confidence": F.lit(None)} | {c: F.col(c) for c in fit.predictions.columns}
+    ids = {"result_id": F.lit(result_id), "save_id": F.lit(save_id)}
+    fields = T.StructType.fromDDL(PREDICTION_SCHEMA)
+    kept = fit.predictions.select(*((given | ids)[f.name].cast(f.dataType).alias(f.name) for f in fields))
+    kept.write.mode("append").partitionBy("result_id", "save_id").parquet(f"{folder}/predictions")
+    listed = F.lit(None).cast("array<struct<feature: string, importance: double>>")
+    if fit.importance is not None:
+        # Of a bounded number of features.
+        ranked = F.array_sort(F.collect_list(F.struct("position", "feature", "importance")))
+        listed = fit.importance.agg(ranked.alias("listed")).select(
+            F.transform("listed", lambda x: F.struct(x["feature"].alias("feature"), x["importance"].alias("importance")))
+        ).scalar()
+    measures = [c for c in fit.metrics.columns if c != "algorithm"]
+    payload = F.to_json(
+        F.struct(F.col("algorithm").alias("model_type"), F.lit(save_id).alias("save_id"), listed.alias("feature_importance"))
+    )
+    row = fit.metrics.select(
+        F.lit(result_id).alias("result_id"), F.lit(file_id).cast("bigint").alias("file_id"), F.lit(result_type).alias("result_type"),
+        "algorithm", F.create_map(*(x for m in measures for x in (F.lit(m), F.col(m).cast("string")))).alias("metrics"),
+        payload.alias("payload"), (F.current_timestamp() if created_at is None else F.lit(created_at)).alias("created_at"),
+    )
+    save_results(row, f"{folder}/results")
+
+
+def saved_fits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The results and the predictions that ``save_fit`` left below ``folder``."""
+    tables = {"results": RESULT_SCHEMA, "predictions": PREDICTION_SCHEMA}
+    return tuple(spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in tables.items())
+
+
+def explain_results(results: DataFrame, predictions: DataFrame, tie: str = "created_at") -> DataFrame:
+    """(result_id, model_type, feature_importance, confidence, summary_text) of the saved models among ``results``.
+
+    A regression is explained by its importance, a classification by
+    ``confidence``: whether predictions have one, and their mean, minimum and
+    maximum. The newest save of an id counts, with the predictions (result_id,
+    save_id, confidence) of that save alone. Results of other types and those
+    whose payload cannot be read are left out.
+    """
+    newest = latest_results(results, tie).where(F.col("result_type").isin(*EXPLAINED_BY))
+    fits = newest.select("result_id", "result_type", F.from_json("payload", FIT_SCHEMA).alias("fit")).where(
+        F.col("fit.model_type").isNotNull()
+    )
+    shown = F.round("confidence", 4)
+    found = predictions.groupBy(F.col("result_id").alias("of"), "save_id").agg(
+        F.count(shown).alias("n"), F.round(F.avg(shown), 4).alias("average"), F.min(shown).alias("minimum"), F.max(shown).alias("maximum")
+    )
+    same = (F.col("result_id") == F.col("of")) & (F.col("fit.save_id") == F.col("save_id"))
+    is_class = F.col("result_type") == "classification"
+    confidence = F.struct((F.coalesce("n", F.lit(0)) > 0).alias("available"), "average", "minimum", "maximum")
+    texts = F.create_map(*(F.lit(x) for pair in EXPLAINED_BY.items() for x in pair))
+    return fits.join(found, same & is_class, "left").select(
+        "result_id", F.col("fit.model_type").alias("model_type"),
+        F.when(~is_class, F.col("fit.feature_importance")).alias("feature_importance"),
+        F.when(is_class, confidence).alias("confidence"), texts[F.col("result_type")].alias("summary_text"),
+    )
+
+
+def explain_result(results: DataFrame, predictions: DataFrame, result_id: str, tie: str = "created_at") -> DataFrame:
+    """The one row of ``explain_results`` for an id; only its partition of the predictions is read."""
+    one = F.col("result_id") == result_id
+    explained = explain_results(results.where(one), predictions.where(one), tie)
+    if explained.isEmpty():
+        raise ValueError("Model result not found")
+    return explained
+
+
+def payload_fields(results: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Fields of any JSON payload, parsed once as VARIANT: name -> (path, type).
+
+    Nothing need be known of the other fields. A path that is missing or does not fit
+    its type gives NULL; a payload that is no JSON gives no row.
+    """
+    parsed = results.withColumn("_payload", F.try_parse_json("payload")).where(F.col("_payload").isNotNull())
+    return parsed.select(
+        "result_id", *(F.try_variant_get("_payload", path, kind).alias(name) for name, (path, kind) in fields.items())
+    )
+
+
 def load_payload(
     results: DataFrame, schema: T.StructType | str, required: str, result_id: str | None = None
 ) -> DataFrame:

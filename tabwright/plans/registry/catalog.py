@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from tabwright.operators import audit, catalog, results
+from tabwright.operators import audit, catalog, regression, results
+from tabwright.session import shared_folder
 from tabwright.sources.tables import table
 
 
@@ -70,6 +73,51 @@ def stored(spark, folder):
     )
 
 
+def fits(spark, folder):
+    """Orders as saved models, several saves per result id, and their lines as the models' predictions."""
+    key = F.col("o_orderkey")
+    kind = F.when(key % 3 == 0, "classification").when(key % 3 == 1, "regression").otherwise("similarity")
+    weights = F.array(F.struct(F.lit("price").alias("feature"), F.col("o_totalprice").alias("importance")))
+    payload = F.to_json(
+        F.struct(F.col("o_orderpriority").alias("model_type"), key.cast("string").alias("save_id"), weights.alias("feature_importance"))
+    )
+    saved = table(spark, folder, "orders").select(
+        F.concat(F.lit("m"), key % 4001).alias("result_id"), kind.alias("result_type"),
+        F.when(key % 23 == 0, "{broken").otherwise(payload).alias("payload"), F.col("o_orderdate").alias("created_at"), key.alias("seq"),
+    )
+    line = F.col("l_orderkey")
+    predictions = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("m"), line % 4001).alias("result_id"), line.cast("string").alias("save_id"),
+        F.when(F.col("l_quantity") > 10, 1 - F.floor("l_quantity") / 125).alias("confidence"),
+    )
+    return saved, predictions
+
+
+def _explained(spark, folder):
+    return results.explain_results(*fits(spark, folder), "seq").select(
+        "result_id", "model_type", F.col("feature_importance")[0]["feature"].alias("feature"),
+        F.col("feature_importance")[0]["importance"].alias("importance"), "confidence.*",
+        F.substring_index("summary_text", " ", 2).alias("text_begins"),
+    )
+
+
+def _saved_fit(spark, folder):
+    """A line fitted to all line items, saved twice, loaded and explained by its id."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_quantity", (F.col("l_quantity") * 2 + 3).alias("doubled"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no")
+    )
+    fit = regression.run_regression(lines, "doubled", ["l_quantity"], "line_no")
+    place = shared_folder(spark, "fits")
+    results.save_fit(fit, place, "0042", 7, "regression", dt.datetime(2024, 1, 1))
+    results.save_fit(fit, place, "0042", 7, "regression", dt.datetime(2024, 1, 2))
+    saved, predictions = results.saved_fits(spark, place)
+    explained = results.explain_result(saved, predictions, "0042")
+    rows = predictions.groupBy("result_id").agg(F.countDistinct("save_id").alias("saves"))
+    return explained.select("result_id", "model_type", F.inline("feature_importance")).join(rows, "result_id").select(
+        "result_id", "model_type", "feature", F.round("importance", 3).alias("importance"), "saves"
+    )
+
+
 def _manifest(spark, folder):
     now = files(spark, folder)
     key = F.col("file_id")
@@ -120,6 +168,12 @@ def _resolved(action):
 
 
 QUERIES = {
+    "results_explained": _explained,
+    "results_saved_fit": _saved_fit,
+    "results_variant": lambda s, d: results.payload_fields(
+        stored(s, d).withColumn("result_id", F.col("seq").cast("string")),
+        {"total": ("$.total", "double"), "state": ("$.state", "string"), "whole": ("$.state", "int"), "absent": ("$.no.such", "string")},
+    ),
     "dedup_by_hash": lambda s, d: catalog.unique_contents(files(s, d), "file_id", "arrived"),
     "dedup_marks": lambda s, d: catalog.mark_duplicates(files(s, d), "file_id", "arrived").select(
         "file_id", "canonical", "copies", "is_duplicate"
@@ -212,6 +266,20 @@ _INSIGHT = """'Fallback insight for ' || result_type || ': ' || CASE WHEN seq %
  WHEN seq % 6 = 2 THEN 'Not suitable.' ELSE 'analysis completed, but no detailed model metrics were available for summarization.' END"""
 
 SQL = {
+    "results_explained": """WITH f AS (SELECT *, 'm' || (o_orderkey % 4001) AS result_id FROM orders
+ QUALIFY row_number() OVER (PARTITION BY o_orderkey % 4001 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+p AS (SELECT l_orderkey, count(*) AS n, round(avg(c), 4) AS average, min(c) AS minimum, max(c) AS maximum
+ FROM (SELECT l_orderkey, l_quantity, round(1 - floor(l_quantity) / 125, 4) AS c FROM lineitem) WHERE l_quantity > 10 GROUP BY 1)
+SELECT result_id, o_orderpriority AS model_type, CASE WHEN o_orderkey % 3 = 1 THEN 'price' END AS feature,
+ CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END AS importance,
+ CASE WHEN o_orderkey % 3 = 0 THEN n IS NOT NULL END AS available, CASE WHEN o_orderkey % 3 = 0 THEN average END AS average,
+ CASE WHEN o_orderkey % 3 = 0 THEN minimum END AS minimum, CASE WHEN o_orderkey % 3 = 0 THEN maximum END AS maximum,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'Classification explainability' ELSE 'Feature importance' END AS text_begins
+FROM f LEFT JOIN p ON o_orderkey = l_orderkey WHERE o_orderkey % 3 <> 2 AND o_orderkey % 23 <> 0""",
+    "results_saved_fit": """SELECT '0042' AS result_id, 'linear' AS model_type, 'l_quantity' AS feature,
+ round(regr_slope(l_quantity * 2 + 3, l_quantity), 3) AS importance, CAST(2 AS BIGINT) AS saves FROM lineitem""",
+    "results_variant": """SELECT CAST(o_orderkey AS VARCHAR) AS result_id, o_totalprice AS total, o_orderstatus AS state,
+ TRY_CAST(o_orderstatus AS INTEGER) AS whole, CAST(NULL AS VARCHAR) AS absent FROM orders WHERE o_orderkey % 23 <> 0""",
     "dedup_by_hash": f"WITH {FILES} SELECT file_hash, arg_min(file_id, arrived) AS canonical, count(*) AS copies FROM files GROUP BY 1",
     "dedup_marks": f"""WITH {FILES} SELECT file_id, first_value(file_id) OVER (PARTITION BY file_hash ORDER BY arrived) AS canonical,
  count(*) OVER (PARTITION BY file_hash) AS copies, file_id <> first_value(file_id) OVER (PARTITION BY file_hash ORDER BY arrived) AS is_duplicate FROM files""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.operators import workspace as ws
+from tabwright.plans.registry import profile
 from tabwright.sources.tables import table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -55,6 +56,18 @@ def _join_preset(spark, folder):
     return joined.select("o_orderkey", "c_name", "c_mktsegment")
 
 
+def _cell_functions(spark, folder):
+    """The cell rules called from a statement over raw text, as ``cell_coercion`` calls them from Python."""
+    space = ws.Workspace(spark).with_cell_functions()
+    space.register("messy", profile.messy_customer(spark, folder), as_text=False)
+    return space.query(
+        "SELECT count(cell_number(balance)) AS numbers, round(sum(cell_number(balance)), 2) AS total, "
+        "count(cell_whole(half)) AS integers, sum(cell_whole(half)) AS integer_total, count(cell_date(signup)) AS dates, "
+        "date_format(min(cell_date(signup)), 'yyyy-MM-dd') AS first_day, "
+        "date_format(max(cell_date(signup)), 'yyyy-MM-dd') AS last_day, count_if(cell_missing(signup)) AS missing FROM messy"
+    )
+
+
 def _typed_text_sum(spark, folder):
     """All-text import: numbers must be cast in the statement."""
     return _text(spark, folder, "part").query(
@@ -184,6 +197,7 @@ def _guarded(spark, folder):
 
 
 QUERIES = {
+    "sql_cell_functions": _cell_functions,
     "guard_statements": _guarded,
     **{name: _sql(text) for name, text in BOTH.items()},
     "sql_date_functions": _sql(
@@ -232,6 +246,7 @@ def _answer(text: str, passes: bool) -> str:
 
 
 SQL = {
+    "sql_cell_functions": profile.SQL["cell_coercion"],
     "guard_statements": " UNION ALL ".join(_answer(*g) for g in GUARDED),
     **BOTH,
     "sql_math_functions": BOTH["sql_math_functions"].replace(*_FLOOR["sql_math_functions"]),

@@ -1,9 +1,10 @@
+import dataclasses
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.operators import audit, catalog, reports, results
+from tabwright.operators import audit, catalog, classification, regression, reports, results
 from tabwright.streaming import events as ev
 
 
@@ -63,6 +64,47 @@ def test_results(spark, tmp_path):
     assert not results.shap_answer(latest, "r1").first()["supported"]
 
 
+def test_saved_fits_are_explained(spark, tmp_path, text_table):
+    """The newest save alone counts, ids stay text, and what no model saved is not found."""
+    place = str(tmp_path / "fits")
+    lines = text_table("x,y,kind\n" + "\n".join(f"{k},{3 * k + 1},{'ab'[k % 2]}" for k in range(40)))
+    slope = regression.run_regression(lines, "y", ["x"], "i")
+    classes = classification.run_classification(lines, "kind", ["x", "y"], "i", "logistic")
+    results.save_fit(classes, place, "007", 1, "classification", dt.datetime(2024, 1, 1))
+    bare = dataclasses.replace(classes, predictions=classes.predictions.withColumn("confidence", F.lit(None).cast("double")))
+    results.save_fit(bare, place, "none", 1, "classification")
+    results.save_fit(slope, place, "r", 1, "regression", dt.datetime(2024, 1, 1))
+    results.save_fit(slope, place, "late", 1, "regression", dt.datetime(2024, 1, 1))
+    results.save_fit(classes, place, "late", 1, "classification", dt.datetime(2024, 1, 2))
+    other = [("s", 1, "similarity", "cosine", {}, '{"model_type": "x"}', dt.datetime(2024, 1, 1)),
+             ("b", 1, "regression", "linear", {}, "{broken", dt.datetime(2024, 1, 1))]
+    results.save_results(spark.createDataFrame(other, results.RESULT_SCHEMA), f"{place}/results")
+    saved, predictions = results.saved_fits(spark, place)
+    got = {r["result_id"]: r for r in results.explain_results(saved, predictions).collect()}
+    assert set(got) == {"007", "none", "r", "late"}
+    c = results.confidence_summary(classes.predictions).first()
+    assert tuple(got["007"]["confidence"]) == tuple(c) == tuple(got["late"]["confidence"]) and got["007"]["feature_importance"] is None
+    assert tuple(got["none"]["confidence"]) == (False, None, None, None)
+    assert [tuple(x) for x in got["r"]["feature_importance"]] == [("x", 3.0)] and got["r"]["confidence"] is None
+    assert "SHAP is not computed" in got["r"]["summary_text"] and got["late"]["model_type"] == "logistic"
+    assert results.explain_result(saved, predictions, "007").first() == got["007"]
+    for unknown in ("s", "b", "7", "nobody"):
+        with pytest.raises(ValueError, match="Model result not found"):
+            results.explain_result(saved, predictions, unknown)
+    metrics = {r["result_id"]: r["metrics"] for r in results.latest_results(saved).collect()}
+    assert metrics["r"]["r2"] == "1.0" and metrics["r"]["test_rows"] == "8"
+    with pytest.raises(ValueError):
+        results.save_fit(slope, place, "x", 1, "similarity")
+
+
+def test_audit_filter(spark):
+    rows = [(1, "e", 5, dt.datetime(2024, 1, 1)), (2, "e", 6, dt.datetime(2024, 1, 2)), (3, "f", 5, dt.datetime(2024, 1, 3)), (4, None, None, None)]
+    log = spark.createDataFrame(rows, "id int, event_type string, user_id int, created_at timestamp")
+    ids = lambda **asked: sorted(r["id"] for r in audit.audit_filter(log, **asked).collect())
+    assert ids() == ids(event_type="") == [1, 2, 3, 4] and ids(event_type="e") == [1, 2] and ids(user_id=5) == [1, 3]
+    assert ids(from_time=dt.datetime(2024, 1, 2)) == [2, 3] and ids(event_type="e", to_time=dt.datetime(2024, 1, 1)) == [1]
+
+
 def test_audit_page(spark):
     log = spark.range(30).select("id", F.lit("e").alias("event_type"), F.lit(1).alias("user_id"), F.col("id").alias("created_at"))
     page = audit.audit_page(audit.audit_filter(log, "e", 1), 2, 10).collect()

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.functions import cells
+from tabwright.functions import cells, sql_cells
 
 
 def run(spark, fn, values):
@@ -54,3 +54,21 @@ def test_business_dates(spark):
     assert run(spark, cells.parse_business_date, ["2024/01/05", "2024-03", "31/12/2023", "12/31/2023", "Jan 2024"]) == [
         d(2024, 1, 5), d(2024, 3, 1), d(2023, 12, 31), d(2023, 12, 31), None,
     ]
+
+
+def test_sql_functions_follow_the_column_rules(spark):
+    texts = [
+        None, "", " na ", "1,234.5", "1_000", "1e3", "0x10", "\u2003 12 ", "1.0d", "inf", "nan", "-", "12.5", "-7", "9999999999999999999",
+        "2024-01-03", "2024-01-03T01:02:03Z", "31/12/2023", "12/31/2023", "March 5, 2024", "Mar 2024", "2024-02-30", " 2024-1-3   4:5:6 ", "it's",
+    ]
+    session = spark.newSession()
+    sql_cells.register(session)
+    session.createDataFrame(list(enumerate(texts)), "i int, cell string").createOrReplaceTempView("raw")
+    rules = {
+        "cell_text": cells.normalize_cell, "cell_missing": cells.is_missing, "cell_number": cells.coerce_float,
+        "cell_whole": cells.coerce_int, "cell_date": cells.parse_date,
+    }
+    raw = session.table("raw")
+    own = raw.select("i", *(rule(F.col("cell")).cast("string").alias(name) for name, rule in rules.items())).orderBy("i").collect()
+    called = ", ".join(f"CAST({name}(cell) AS STRING) AS {name}" for name in rules)
+    assert session.sql(f"SELECT i, {called} FROM raw ORDER BY i").collect() == own

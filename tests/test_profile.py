@@ -37,9 +37,9 @@ def test_warnings(text_table):
 
 
 def test_suggestions(text_table):
-    df = text_table("date,amount,category\n2024-01-01,10.5,A\n2024-02-01,20.0,B\n2024-03-01,30.0,A").drop("i")
+    df = text_table("day,kilos,bed\n2023-05-02,4.5,N\n2023-05-09,6.25,S\n2023-05-16,7.5,N\n2023-05-23,5.75,N").drop("i")
     row = profile.suggestions(profile.column_types(df)).first()
-    assert row["date_columns"] == ["date"] and row["feature_columns"] == ["amount"] and row["target_columns"] == ["category"]
+    assert row["date_columns"] == ["day"] and row["feature_columns"] == ["kilos"] and row["target_columns"] == ["bed"]
     assert "time_series" in row["suggested_analyses"]
 
 

@@ -211,19 +211,20 @@ def test_split(spark, monkeypatch, bucket_rows):
 
 @pytest.fixture(scope="module")
 def items(text_table):
-    return text_table("name,views,purchases\nA,10,2\nB,11,2\nC,1,10\nD,2,9")
+    return text_table("tree,height,width\noak,3,4\nash,4,3\nfir,5,12")
 
 
 def test_similarity_literal(items):
-    rows = similarity.numeric_rows(items, ["views", "purchases"], "i", "name")
+    """Right-angled triangles: cosines are 24/25, 63/65 and 56/65, of the columns 84 / (13 sqrt 50)."""
+    rows = similarity.numeric_rows(items, ["height", "width"], "i", "tree")
     best = similarity.top_pairs(rows, 3).orderBy(F.desc("score")).collect()
-    assert [(r["left"], r["right"], r["score"]) for r in best] == [("A", "B", 0.9998), ("C", "D", 0.9929), ("A", "D", 0.4042)]
-    assert similarity.column_cosine(items, ["views", "purchases"]).first()["score"] == 0.3387
-    assert similarity.matrix_preview(rows).first()["values"][:2] == [1.0, 0.9998]
-    text = similarity.numeric_rows(items, ["name"], "i")
+    assert [(r["left"], r["right"], r["score"]) for r in best] == [("oak", "fir", 0.9692), ("oak", "ash", 0.96), ("ash", "fir", 0.8615)]
+    assert similarity.column_cosine(items, ["height", "width"]).first()["score"] == 0.9138
+    assert similarity.matrix_preview(rows).first()["values"][:2] == [1.0, 0.96]
+    text = similarity.numeric_rows(items, ["tree"], "i")
     assert not similarity.suitability(text, 1).first()["suitable"]
-    assert similarity.numeric_rows(items, ["views"], "i").orderBy("idx").first()["label"] == "row 1"
-    assert "two numeric feature" in similarity.suitability(similarity.numeric_rows(items, ["views"], "i"), 1, "item").first()["note"]
+    assert similarity.numeric_rows(items, ["height"], "i").orderBy("idx").first()["label"] == "row 1"
+    assert "two numeric feature" in similarity.suitability(similarity.numeric_rows(items, ["height"], "i"), 1, "item").first()["note"]
 
 
 @pytest.mark.parametrize("pivot_rows,block", [(2048, 8192), (25, 12)])
