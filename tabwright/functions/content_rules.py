@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +61,37 @@ ADVICE = {
 }
 
 
+# A match that white space parts may lie on two lines: how the first ends, how the
+# next that is not blank goes on, and the rule that then holds.
+_PARTED = (
+    (r"<", r"(?:script|iframe|object|embed)\b", "script"),
+    (r"javascript", r":", "script"),
+    (r"\bon(?:error|click)", r"=", "script"),
+    (r"\bbash", r"-i\b", "command"),
+    (r"\bnc", r"-e\b", "command"),
+    (r"\b(?:wget|curl)", r"\w", "command"),
+)
+PARTED_RULES = tuple(rule for _, _, rule in _PARTED)
+
+
+def blank_line(line: Column) -> Column:
+    return line.rlike(r"(?U)^\s*\z")
+
+
+def opened(line: Column) -> Column:
+    """The number of the parted pattern whose first part ends a line, or -1."""
+    number = F.lit(-1)
+    for k, (first, _, _) in enumerate(_PARTED):
+        number = F.when(line.rlike(rf"(?iU){first}\s*\z"), k).otherwise(number)
+    return number
+
+
+def closed(line: Column) -> Column:
+    """The parted patterns whose second part begins a line, as bits."""
+    bits = [F.when(line.rlike(rf"(?iU)^\s*{second}"), 1 << k).otherwise(0) for k, (_, second, _) in enumerate(_PARTED)]
+    return reduce(add, bits)
+
+
 def has_script(text: Column) -> Column:
     return text.rlike(SCRIPT_PATTERN)
 
@@ -92,10 +126,14 @@ def has_null_byte(text: Column) -> Column:
     return F.contains(text, F.lit("\x00"))
 
 
+def unprintable_count(text: Column) -> Column:
+    """Control and odd separator characters; tab and line ends are fine."""
+    return F.length(text) - F.length(F.regexp_replace(text, _UNPRINTABLE, ""))
+
+
 def unprintable_share(text: Column) -> Column:
-    """Share of control and odd separator characters; tab and line ends are fine."""
-    removed = F.length(text) - F.length(F.regexp_replace(text, _UNPRINTABLE, ""))
-    return F.coalesce(F.try_divide(removed, F.length(text)), F.lit(0.0))
+    """Their share of all characters."""
+    return F.coalesce(F.try_divide(unprintable_count(text), F.length(text)), F.lit(0.0))
 
 
 def filename_issue(name: Column) -> Column:

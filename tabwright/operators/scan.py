@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions import content_rules as rules
 from tabwright.plans.parallel import spread
+from tabwright.sources.csv_files import BOM, file_lines, in_order, missing_ends
 
 UNREAD = "File content was not read"
+#: Rules that are run on what can be read as text.
+LATER_RULES = ("long", "script", "formula", "command", "url", "base64")
 
 
 def _found(condition: Column, kind: str) -> Column:
@@ -45,6 +48,11 @@ def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, val
         rules.has_url(body).alias("_url"),
         rules.has_base64_run(body).alias("_base64"),
     )
+    return _records(checked, keys)
+
+
+def _records(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Scan records of rows whose rules are worked out: one flag column per rule, null where it was not run."""
     unread, named = (
         F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("issue"), F.lit(100).alias("score"))) for c in ("_fault", "_name")
     )
@@ -110,6 +118,49 @@ def scan_files(files: DataFrame) -> DataFrame:
     return _scan(files, ["path"], text, name, F.is_valid_utf8(raw), F.sha2("content", 256), fault)
 
 
+def scan_folder(spark: SparkSession, folder: str, pattern: str = "*", name: Column | None = None) -> DataFrame:
+    """``scan_files`` of files of any size: no file is read whole, so none is left unread.
+
+    Every rule but the hash is worked out line by line, wherever a byte range
+    puts the line, and folded per file before the shuffle. A pattern that goes
+    over several lines is followed by the task that hashes the file in order.
+    A line must fit in a task. Spark's readers pass over empty files. ``name`` is
+    worked out from ``path`` where it is not its last part.
+    """
+    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
+        "path", F.col("_metadata.file_path").alias("file")
+    )
+    lines = file_lines(spark, folder, pattern).withColumnRenamed("path", "of")
+    text, place = F.col("value"), F.struct("start", "number")
+    kind = rules.formula_kind(text)
+    flags = lines.groupBy("of").agg(
+        F.bool_or(rules.has_null_byte(text)).alias("_null"), F.bool_and(F.is_valid_utf8(text)).alias("_valid"),
+        F.sum(rules.unprintable_count(text)).alias("odd"),
+        (F.sum(F.length(text)) + F.count(F.lit(1)) - missing_ends().isin(-1, 2).cast("int")).alias("characters"),
+        F.bool_or(rules.has_long_line(text)).alias("_long"), F.bool_or(rules.has_script(text)).alias("_script"),
+        F.min_by(kind, F.when(kind.isNotNull(), place)).alias("_formula"), F.bool_or(rules.has_command(text)).alias("_command"),
+        F.bool_or(rules.has_url(text)).alias("_url"), F.bool_or(rules.has_base64_run(text)).alias("_base64"),
+    )
+    followed = in_order(lines.withColumnRenamed("of", "path")).select(F.col("path").alias("hashed"), "sha256", "parted")
+    files = names.join(flags, F.col("file") == F.col("of"), "left").join(followed, F.col("file") == F.col("hashed"), "left")
+    name = rules.filename_issue(F.regexp_extract("path", r"([^/]*)$", 1) if name is None else name)
+    # A file without a line is a byte order mark alone: the readers pass over empty ones.
+    lineless = F.sha2(F.lit(BOM), 256)
+    files = files.select(
+        "path", F.coalesce("sha256", lineless).alias("file_hash"), F.lit(None).cast("string").alias("_fault"),
+        name.alias("_name"), F.coalesce("_valid", F.lit(True)).alias("_valid"), F.coalesce("_null", F.lit(False)).alias("_null"),
+        (F.coalesce(F.try_divide("odd", "characters"), F.lit(0.0)) > rules.CONTROL_SHARE).alias("_control"), "parted",
+        *(F.col(f"_{rule}") for rule in LATER_RULES),
+    )
+    stopped = F.col("_name").isNotNull() | F.col("_null")
+    files = files.withColumn("_control", F.when(~stopped & F.col("_valid"), F.col("_control")))
+    files = files.withColumn("_blocked", stopped | ~F.col("_valid") | F.coalesce("_control", F.lit(False)))
+    later = {f"_{rule}": F.col(f"_{rule}") for rule in LATER_RULES}
+    for bit, rule in enumerate(rules.PARTED_RULES):
+        later[f"_{rule}"] = later[f"_{rule}"] | (F.col("parted").bitwiseAND(1 << bit) != 0)
+    return _records(files.withColumns({c: F.when(~F.col("_blocked"), value) for c, value in later.items()}), ["path"])
+
+
 def latest_scan(scans: DataFrame, file: str, scanned_at: str, tie: str) -> DataFrame:
     """The newest scan of every file, combined map-side."""
     newest = F.max_by(F.struct(*scans.columns), F.struct(scanned_at, tie))

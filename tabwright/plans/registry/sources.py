@@ -35,15 +35,17 @@ def _ragged(spark: SparkSession, folder: str) -> csv_files.CsvTable:
 
 #: What the texts of a nation's file end with, by the nation's key: nothing, a null byte, half a character, control characters.
 ENDINGS = ("", "00", "C3", "01" * 200)
+#: Endings of which some begin a pattern that goes on in a later line.
+PARTED = (*ENDINGS, *(t.encode().hex() for t in ("<\n  \nscript x", " wget\nhttp://a.b", ",=cmd|x", "\nbash \n -i")))
 
 
-def _nation_files(spark: SparkSession, folder: str, spoilt: bool = False) -> str:
+def _nation_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = ()) -> str:
     """Suppliers as one text file per nation, in the order of their keys."""
     out = shared_folder(spark, "supplier-files")
     line = F.concat_ws(",", "s_suppkey", "s_name").cast("binary")
-    if spoilt:
-        bad = F.array(*(F.unhex(F.lit(e)) for e in ENDINGS))
-        line = F.concat(line, F.get(bad, F.col("s_nationkey") % len(ENDINGS)))
+    if endings:
+        bad = F.array(*(F.unhex(F.lit(e)) for e in endings))
+        line = F.concat(line, F.get(bad, F.col("s_nationkey") % len(endings)))
     rows = table(spark, folder, "supplier").select("s_nationkey", "s_suppkey", line.cast("string").alias("line"))
     in_order = rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
     in_order.select("s_nationkey", "line").write.mode("overwrite").partitionBy("s_nationkey").text(out)
@@ -75,13 +77,16 @@ QUERIES = {
     ),
     "file_changes": _changes,
     "file_encoding": lambda s, d: csv_files.encoding_issues(
-        csv_files.read_bytes(s, _nation_files(s, d, spoilt=True), "*.txt")
+        csv_files.read_bytes(s, _nation_files(s, d, ENDINGS), "*.txt")
     ).select(_nation(), "issue"),
     "file_scan": lambda s, d: scan.scan_files(
-        csv_files.read_bytes(s, _nation_files(s, d, spoilt=True), "*.txt").withColumn(
+        csv_files.read_bytes(s, _nation_files(s, d, ENDINGS), "*.txt").withColumn(
             "path", F.regexp_replace("path", "[^/]*$", "suppliers.csv")
         )
     ).select(_nation(), "status", "risk_score"),
+    "file_scan_by_line": lambda s, d: scan.scan_folder(
+        s, _nation_files(s, d, PARTED), "*.txt", F.lit("suppliers.csv")
+    ).select(_nation(), "status", "risk_score", F.array_join("issues", "; ").alias("issues")),
 }
 
 _FILES = """
@@ -114,6 +119,14 @@ SQL = {
         SELECT nation, CASE nation % 4 WHEN 1 THEN 'File contains null bytes' WHEN 2 THEN 'CSV must be valid UTF-8 text'
                    WHEN 3 THEN 'File contains too many control characters' END AS issue
         FROM files""",
+    "file_scan_by_line": f"""{_FILES}
+        SELECT nation, CASE WHEN nation % 8 = 0 THEN 'safe' WHEN nation % 8 < 4 THEN 'blocked' ELSE 'warning' END AS status,
+               ([0, 100, 100, 100, 30, 50, 45, 60])[nation % 8 + 1]::INTEGER AS risk_score,
+               (['', 'File contains null bytes', 'CSV must be valid UTF-8 text', 'File contains too many control characters',
+                 'Potential HTML or JavaScript injection detected', 'Suspicious command string detected; Embedded URL detected',
+                 'Dangerous spreadsheet formula detected',
+                 'CSV formula injection pattern detected; Suspicious command string detected'])[nation % 8 + 1] AS issues
+        FROM files""",
     "file_scan": f"""{_FILES}
         SELECT nation, CASE WHEN nation % 4 = 0 THEN 'safe' ELSE 'blocked' END AS status,
                (CASE WHEN nation % 4 = 0 THEN 0 ELSE 100 END)::INTEGER AS risk_score

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.functions.content_rules import CONTROL_SHARE, has_null_byte, unprintable_share
+from tabwright.functions.content_rules import CONTROL_SHARE, blank_line, closed, has_null_byte, opened, unprintable_share
 from tabwright.sources.csv_records import csv_records
 
 RAGGED_WARNING = "Ragged CSV rows detected; extra columns were padded for analysis"
@@ -135,7 +135,7 @@ def read_bytes(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
     """Whole files as (path, modificationTime, length, content, issue), one row per file.
 
     A file above the size limit keeps its row: its content is not read and the
-    issue says why. Empty files have empty content.
+    issue says why. Spark's readers pass over empty files.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     fits = files.filter(F.col("length") <= MAX_FILE_BYTES).withColumn("issue", F.lit(None).cast("string"))
@@ -163,21 +163,47 @@ def file_hashes(files: DataFrame) -> DataFrame:
 
 
 def _hash_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of files from their lines in order; a file's state is one hasher, whatever its size."""
+    """SHA-256 of files from their lines in order, and the parted patterns that go on from one line to another.
+
+    A file's state is one hasher and the pattern that its last line left open, whatever its size.
+    """
     path, hasher, left, extra, size = None, None, 0, 0, 0
+    waits, parted = -1, 0
     for batch in batches:
         done = []
         for r in batch.itertuples(index=False):
             if r.path != path:
                 path, left, extra, size = r.path, r.lines, r.extra, r.size_bytes
                 hasher = hashlib.sha256(BOM if extra >= len(BOM) - 1 else b"")
+                waits, parted = -1, 0
             left -= 1
+            if not r.blank:
+                if waits >= 0:
+                    parted |= r.closed & (1 << waits)
+                waits = r.opened
             hasher.update(r.line)
             if left or extra in (0, len(BOM)):
                 hasher.update(b"\n")
             if not left:
-                done.append((path, hasher.hexdigest(), size))
-        yield pd.DataFrame(done, columns=["path", "sha256", "size_bytes"])
+                done.append((path, hasher.hexdigest(), size, parted))
+        yield pd.DataFrame(done, columns=["path", "sha256", "size_bytes", "parted"])
+
+
+def file_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, size_bytes, start, number, value): the lines of files as they are; start and number give their order.
+
+    Lines end at line feeds alone. Files are read in parallel by byte ranges;
+    empty files have no line.
+    """
+    return spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"), "value",
+    )
+
+
+def missing_ends() -> Column:
+    """Of a file's lines: its size beyond theirs, each with a line feed; -1 or 2 where the last has none, 2 or 3 with a mark."""
+    return F.first("size_bytes") - F.count(F.lit(1)) - F.sum(F.octet_length("value"))
 
 
 def stream_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -186,18 +212,23 @@ def stream_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
     Files are read as lines, in parallel, and each is hashed in order by one
     task in the memory of a batch of lines. What the reader drops, a mark at the
     file's start and whether its last line is ended, follows from its size.
-    Spark's readers pass over empty files, so these have no row.
+    Spark's readers pass over empty files and those of a mark alone, so these have no row.
     """
-    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(folder).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"),
-        F.col("value").cast("binary").alias("line"),
-    )
-    seen = F.count(F.lit(1)) + F.sum(F.octet_length("line"))
-    facts = lines.groupBy(F.col("path").alias("of")).agg(
-        F.count(F.lit(1)).alias("lines"), (F.first("size_bytes") - seen).alias("extra")
+    return in_order(file_lines(spark, folder, pattern)).select("path", "sha256", "size_bytes")
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """(path, sha256, size_bytes, parted) of ``file_lines``, each file's followed in order by one task.
+
+    ``parted`` has a bit per pattern of ``content_rules`` that begins on one line and ends on a later one.
+    """
+    facts = lines.groupBy(F.col("path").alias("of")).agg(F.count(F.lit(1)).alias("lines"), missing_ends().alias("extra"))
+    value = F.col("value")
+    marked = lines.select(
+        "path", "size_bytes", "start", "number", value.cast("binary").alias("line"),
+        blank_line(value).alias("blank"), opened(value).alias("opened"), closed(value).alias("closed"),
     )
-    in_order = lines.join(facts, F.col("path") == F.col("of")).repartition("path").sortWithinPartitions("path", "start", "number")
-    return in_order.select("path", "size_bytes", "lines", "extra", "line").mapInPandas(
-        _hash_lines, "path string, sha256 string, size_bytes long"
+    joined = marked.join(facts, F.col("path") == F.col("of")).repartition("path").sortWithinPartitions("path", "start", "number")
+    return joined.select("path", "size_bytes", "lines", "extra", "line", "blank", "opened", "closed").mapInPandas(
+        _hash_lines, "path string, sha256 string, size_bytes long, parted int"
     )

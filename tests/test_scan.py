@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,35 @@ def test_scan_files_and_listing(spark, tmp_path):
     assert csv_files.file_hashes(files).count() == 3
 
 
+PIECES = [
+    b"a,b", b"x", b"\n", b"\n", b"\r\n", b" ", b"\t", b"<", b"script", b" iframe ", b"JavaScript", b":", b"onerror", b"=", b"bash", b"-i", b"nc",
+    b" -e", b"wget", b"Curl", b"http://q.r", b",=cmd|", b"\n-", b"\xc3\xa9", b"A" * 90, "\u2028".encode(), b"0", b"word\x0b",
+]
+RARE = [b"\x00", b"\xff", b"\x01\x02", b"y" * 100_001, b"\xef\xbb\xbf"]
+
+
+@pytest.mark.parametrize("split", ["128m", "23"])
+def test_scan_by_line_equals_the_scan_of_whole_files(spark, tmp_path, split):
+    """The same records, hashes included, wherever byte ranges part the files; patterns over several lines too."""
+    rng = random.Random(6)
+    for k in range(120):
+        body = b"".join(rng.choice(RARE) if rng.random() < 0.01 else rng.choice(PIECES) for _ in range(rng.randint(0, 25)))
+        mark = csv_files.BOM if k % 9 == 0 else b""
+        (tmp_path / f"f{k}.{'csv' if k % 17 else 'exe.csv'}").write_bytes(mark + body if k else b"")
+    for k, lines in enumerate(("a<", "\n \n\tobject;", "on", "nc \n\n-e", "wget\n-", "wget\n(\nx", "xjavascript\n:", "xbash\n-i", "<\nscripts")):
+        (tmp_path / f"own {k}.csv").write_text(lines)
+    (tmp_path / "mark.csv").write_bytes(csv_files.BOM)
+    filled = sum(p.stat().st_size > 0 for p in tmp_path.iterdir())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        whole = scan.scan_files(csv_files.read_bytes(spark, str(tmp_path))).collect()
+        by_line = scan.scan_folder(spark, str(tmp_path), "*.csv").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["path"]: r for r in by_line} == {r["path"]: r for r in whole} and len(by_line) == len(whole) == filled > 120
+    assert len({r["risk_score"] for r in whole}) > 6
+
+
 def test_latest_and_history(spark):
     rows = spark.createDataFrame(
         [("f", 1, "safe"), ("f", 3, "blocked"), ("g", 2, "warning"), ("f", 2, "safe")], "file string, at int, status string"
