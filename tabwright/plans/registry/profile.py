@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells
-from tabwright.operators import charts, profile
+from tabwright.operators import charts, profile, profile_state
+from tabwright.session import shared_folder
 from tabwright.sources.tables import table
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -49,6 +50,23 @@ def _suggest(spark, folder):
     return row.select(*(F.array_join(c, ",").alias(c) for c in row.columns))
 
 
+def _merged(df, part):
+    """A table's profile from the stored states of three parts of it."""
+    store = shared_folder(df.sparkSession, "profile-states")
+    for k in range(3):
+        profile_state.store_state(df.where(part % 3 == k), str(k), store)
+    states = profile_state.stored_states(df.sparkSession, store, ["0", "1", "2"])
+    return profile_state.profile_of(profile_state.merge_states(states))
+
+
+def _merged_lines(spark, folder):
+    return _merged(lineitem(spark, folder), F.col("l_orderkey"))
+
+
+def _merged_customers(spark, folder):
+    return _merged(messy_customer(spark, folder), F.col("id").cast("long"))
+
+
 def _coerced(spark, folder):
     """Cell coercions, summed up per kind."""
     df = messy_customer(spark, folder)
@@ -72,6 +90,15 @@ def _coerced(spark, folder):
 
 QUERIES = {
     "cell_coercion": _coerced,
+    "profile_merged_missing": lambda s, d: _merged_customers(s, d).select(
+        "column", "row_count", "missing_count", "missing_percent"
+    ),
+    "profile_merged_numbers": lambda s, d: _merged_lines(s, d).where(F.col("column").isin(LINE_NUMBERS)).select(
+        "column", "n", "min", "max", "mean", "std"
+    ),
+    "profile_merged_top": lambda s, d: _merged_lines(s, d).where(F.col("column").isin("l_returnflag", "l_linestatus")).select(
+        "column", F.inline("top_values")
+    ),
     "profile_numeric": lambda s, d: profile.numeric_stats(
         lineitem(s, d), LINE_NUMBERS, quartiles=False
     ),
@@ -311,3 +338,9 @@ LEFT JOIN s ON s.col = t."column" LEFT JOIN q ON q.col = t."column" LEFT JOIN to
 SELECT col AS "column", v AS value, n AS count FROM (SELECT col, v, count(*) AS n,
  row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, v) AS k FROM u GROUP BY col, v) WHERE k <= 5""",
 }
+# The state of merged parts tells exactly what the profile of the whole table does.
+SQL["profile_merged_missing"] = SQL["profile_missing"]
+SQL["profile_merged_numbers"] = SQL["profile_numeric"]
+SQL["profile_merged_top"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS count FROM lineitem GROUP BY {c}""" for c in ("l_returnflag", "l_linestatus")
+)
