@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabwright.operators import audit, catalog, regression, results
 from tabwright.session import shared_folder
 from tabwright.sources.tables import table
+from tabwright.streaming import state
 
 
 def files(spark, folder):
@@ -142,6 +143,19 @@ def _versions(spark, folder):
     return catalog.version_numbers(events(spark, folder), "file_id", "created_at", "id")
 
 
+def _streamed_versions(spark, folder):
+    """The versions numbered by a stream that is started anew for each half of the log."""
+    base = shared_folder(spark, "stream-versions")
+    log = events(spark, folder).select("id", "file_id", "created_at")
+    session = state.state_session(spark)
+    for half in (F.col("created_at") < "2024-01-15", F.col("created_at") >= "2024-01-15"):
+        log.where(half).write.mode("append").parquet(f"{base}/in")
+        arrived = session.readStream.schema(log.schema).parquet(f"{base}/in")
+        numbered = state.version_stream(arrived, "file_id", "created_at", "id")
+        state.append_available(numbered, f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("id", "file_id", "version_number")
+
+
 def _version_diff(spark, folder):
     out = catalog.compare_versions(
         _versions(spark, folder), "file_id", 1, 2,
@@ -197,6 +211,7 @@ QUERIES = {
     ).select("file_id", "arrived"),
     "version_numbers": lambda s, d: _versions(s, d).select("id", "file_id", "version_number"),
     "latest_versions": lambda s, d: catalog.latest_versions(events(s, d), "file_id", "created_at", "id"),
+    "version_stream": _streamed_versions,
     "version_get": lambda s, d: catalog.get_version(_versions(s, d), "file_id", 3, 5).select("id", "upload_event"),
     "version_append": lambda s, d: catalog.append_version(
         catalog.version_numbers(events(s, d).filter("id % 2 = 0"), "file_id", "created_at", "id"),
@@ -291,6 +306,7 @@ FROM f LEFT JOIN p ON o_orderkey = l_orderkey WHERE o_orderkey % 3 <> 2 AND o_or
     "recent_uploads": f"WITH {FILES} SELECT file_id, arrived FROM files WHERE size_bytes > 100 AND source = 'src0' ORDER BY arrived DESC LIMIT 20",
     "version_numbers": f"WITH {VERSIONS} SELECT id, file_id, version_number FROM ev",
     "latest_versions": f"WITH {VERSIONS} SELECT file_id, max(version_number) AS version_number, arg_max(id, version_number) AS latest FROM ev GROUP BY 1",
+    "version_stream": f"WITH {VERSIONS} SELECT id, file_id, version_number FROM ev",
     "version_get": f"WITH {VERSIONS} SELECT id, upload_event FROM ev WHERE file_id = 3 AND version_number = 5",
     "version_append": """WITH a AS (SELECT user_id % 40 AS file_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1)
 SELECT event_id AS id, user_id % 40 AS file_id, coalesce(n, 0) + row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS version_number
