@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LinearSVC,
     LogisticRegression,
     NaiveBayes,
     RandomForestClassifier,
@@ -21,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.operators import neighbours
+from tabwright.operators import hinge, neighbours
 from tabwright.operators.features import prepare, scaler
+from tabwright.plans.packed import matrices, packed
 from tabwright.plans.split import split_rows
 
 MAX_DISPLAY_CLASSES = 12
@@ -122,53 +122,43 @@ def _svm(split: Split, options: dict) -> DataFrame:
     """RBF kernel machine on random Fourier features (Rahimi and Recht, 2007).
 
     A linear SVM per class on the features approximates the kernel SVM; class
-    probabilities come from a logistic fit on its margins.
+    probabilities come from a logistic fit on its margins. Only the scaled rows
+    are kept, packed: every pass works the features out anew (``hinge``).
     """
-    count = options.get("fourier_features", FOURIER_FEATURES)
-    random = np.random.default_rng(42)
-    gamma = 1.0 / split.width
-    weights = random.normal(scale=np.sqrt(2 * gamma), size=(split.width, count))
-    shift = random.uniform(0, 2 * np.pi, size=count)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def fourier(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        waves = np.cos(np.stack(vectors.to_numpy()) @ weights + shift) * np.sqrt(2.0 / count)
-        return pd.Series(list(waves))
-
+    waves = hinge.Waves.of(split.width, options.get("fourier_features", FOURIER_FEATURES))
     scale = Pipeline(stages=scaler(split.train_rows, split.width)).fit(split.train)
 
-    def lifted(rows: DataFrame) -> DataFrame:
-        scaled = scale.transform(rows)
-        return scaled.select("idx", "label", "y", array_to_vector(fourier(vector_to_array("scaled"))).alias("features"))
+    def scaled(rows: DataFrame) -> DataFrame:
+        return scale.transform(rows).select("idx", "label", "y", vector_to_array("scaled").alias("vec"))
 
-    train, test = lifted(split.train).persist(), lifted(split.test)
+    blocks = packed(scaled(split.train), "vec", "y")
     # One machine per class, a single one for two classes.
     targets = [1] if len(split.classes) == 2 else list(range(len(split.classes)))
-    machines = []
-    for c in targets:
-        machine = LinearSVC(
-            labelCol="one", rawPredictionCol=f"raw{c}", predictionCol=f"side{c}",
-            maxIter=options.get("max_iter", 50), regParam=1.0 / split.train_rows, standardization=False,
-        )
-        machines.append(machine.fit(train.withColumn("one", (F.col("y") == c).cast("double"))))
+    machines = hinge.fit(blocks, waves, targets, split.train_rows, options.get("max_iter", 50), 1.0 / split.train_rows)
+
+    def judge(batches):
+        for batch in batches:
+            for vectors, labels in matrices(batch):
+                yield pd.DataFrame({"m": list(hinge.margins(waves, machines, vectors)), "y": labels})
 
-    def judged(rows: DataFrame) -> DataFrame:
-        for machine in machines:
-            rows = machine.transform(rows)
-        margins = F.array(*(vector_to_array(f"raw{c}")[1] for c in targets))
-        return rows.select("idx", "label", "y", margins.alias("m")).withColumn("margins", array_to_vector("m"))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def judged(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(hinge.margins(waves, machines, np.stack(vectors.to_numpy()))))
 
+    sides = blocks.mapInPandas(judge, "m array<double>, y double").select(array_to_vector("m").alias("margins"), "y")
     platt = LogisticRegression(
         featuresCol="margins", labelCol="y", maxIter=100, predictionCol="_p", rawPredictionCol="_r"
-    ).fit(judged(train))
+    ).fit(sides)
+    blocks.unpersist()
     best = (
         (F.get("m", F.lit(0)) > 0).cast("int")
         if len(targets) == 1
         else F.array_position("m", F.array_max("m")).cast("int") - 1
     )
-    return platt.transform(judged(test)).select(
+    test = scaled(split.test).select("idx", "label", judged("vec").alias("m")).withColumn("margins", array_to_vector("m"))
+    return platt.transform(test).select(
         "idx",
         F.col("label").alias("actual"),
         _named(split.classes, best).alias("predicted"),

@@ -188,3 +188,31 @@ def test_forests_grow_deep_and_fine_by_default(spark, monkeypatch):
     monkeypatch.setattr(classification, "_scored", lambda split, stages: None)
     classification._forest(None, {})
     assert (asked["maxDepth"], asked["maxBins"]) == (16, 256)
+
+
+def test_machines_keep_no_wide_rows(spark, classes):
+    """Fourier features are worked out in every pass: what is kept is as wide as the rows, whatever the number of features."""
+    sizes = []
+    for count in (32, 512):
+        kept = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+        before = sum(i.memSize() + i.diskSize() for i in kept)
+        seen = []
+        real = classification.hinge.fit
+        try:
+            classification.hinge.fit = lambda *a: (real(*a), seen.append(sum(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())))[0]
+            classification.run_classification(classes, "group", ["x1", "x2"], "i", "svm", options={"fourier_features": count})
+        finally:
+            classification.hinge.fit = real
+        sizes.append(seen[0] - before)
+    assert sizes[1] < 4 * sizes[0]
+
+
+def test_descend_finds_the_least_point():
+    run = classification.hinge.descend(np.zeros(3), 100)
+    scale, centre = np.array([1.0, 10.0, 100.0]), np.array([1.0, -2.0, 3.0])
+    x = next(run)
+    try:
+        while True:
+            x = run.send((float(scale @ (x - centre) ** 2), 2 * scale * (x - centre)))
+    except StopIteration as end:
+        assert np.allclose(end.value, centre, atol=1e-2)
