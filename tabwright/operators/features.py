@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells
+from tabwright.plans.parallel import spread
 
 # One-hot levels are held on the driver; wider text columns are refused.
 MAX_MISSING_PERCENT = 50
@@ -71,8 +72,8 @@ def prepare(
     table = df.select(*chosen)
     if target is not None:
         table = table.filter(F.col("label").isNotNull())
-    # The narrow projection feeds the facts, the encoders and the fit.
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    # The narrow projection feeds the facts, the encoders and the fit; one file may come as one task.
+    table = spread(table).persist(StorageLevel.MEMORY_AND_DISK)
     complete = F.lit(True)
     for i in range(len(features)):
         complete = complete & F.col(f"n{i}" if typed[i] else f"t{i}").isNotNull()
