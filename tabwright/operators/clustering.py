@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from tabwright.session import cut_lineage
 
 STARTS = 10
 MICRO_CENTRES = 1000
+#: Rows whose distances to a piece are laid out at once.
+TILE = 256
 ALGORITHMS = {
     "kmeans": ("K-means", "Partition rows into k spherical clusters."),
     "hierarchical": ("Hierarchical", "Agglomerative clustering with ward linkage."),
@@ -124,6 +127,11 @@ def cluster_sizes(assignments: DataFrame, k: int) -> DataFrame:
     return axis.join(F.broadcast(counts), "cluster", "left").select("cluster", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+def _pieces(n: int, cores: int) -> int:
+    """Pieces of all rows; a row is copied once for each, so they are as large as a task holds, but keep every core busy."""
+    return max(1, -(-n // (4 * blocks.MAX_BLOCK)), min(-(-n // (blocks.MAX_BLOCK // 4)), ceil(sqrt(2 * cores))))
+
+
 def silhouette(vectors: DataFrame) -> DataFrame:
     """One row: the mean silhouette with Euclidean distance, exactly.
 
@@ -133,7 +141,7 @@ def silhouette(vectors: DataFrame) -> DataFrame:
     """
     slim = cut_lineage(vectors.select("idx", F.col("vec").cast("array<double>").alias("vec"), "cluster"))
     n = slim.count()
-    pieces = max(1, -(-n // (blocks.MAX_BLOCK // 4)))
+    pieces = _pieces(n, slim.sparkSession.sparkContext.defaultParallelism)
     piece = F.pmod(F.xxhash64("idx"), F.lit(pieces)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
     left = slim.select("idx", "vec", "cluster", piece.alias("a"), every.alias("b"))
@@ -142,12 +150,19 @@ def silhouette(vectors: DataFrame) -> DataFrame:
     def sums(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(l) or not len(r):
             return pd.DataFrame({"idx": [], "own": [], "cluster": [], "total": []})
-        gaps = np.sqrt(blocks.squared_distances(blocks.matrix(l["vec"]), blocks.matrix(r["vec"])))
-        parts = []
-        for cluster in np.unique(r["cluster"]):
-            total = gaps[:, (r["cluster"] == cluster).to_numpy()].sum(axis=1)
-            parts.append(pd.DataFrame({"idx": l["idx"], "own": l["cluster"], "cluster": cluster, "total": total}))
-        return pd.concat(parts)
+        a, b = blocks.matrix(l["vec"]), blocks.matrix(r["vec"])
+        names, owner = np.unique(r["cluster"].to_numpy(), return_inverse=True)
+        member = np.zeros((len(b), len(names)))
+        member[np.arange(len(b)), owner] = 1.0
+        totals = np.concatenate(
+            [np.sqrt(blocks.squared_distances(a[at : at + TILE], b)) @ member for at in range(0, len(a), TILE)]
+        )
+        return pd.DataFrame(
+            {
+                "idx": np.repeat(l["idx"].to_numpy(), len(names)), "own": np.repeat(l["cluster"].to_numpy(), len(names)),
+                "cluster": np.tile(names, len(a)), "total": totals.ravel(),
+            }
+        )
 
     partial = (
         left.groupBy("a", "b")

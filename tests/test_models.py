@@ -125,6 +125,11 @@ def test_silhouette_exact(spark, monkeypatch, block):
     assert clustering.silhouette(one).first()[0] is None
 
 
+def test_silhouette_copies_a_row_few_times():
+    """What is shuffled is rows times pieces: 16 times fewer pieces than blocks of 2048 rows give, but enough for all cores."""
+    assert clustering._pieces(600_000, 12) == 19 and clustering._pieces(20_000, 12) == 5 and clustering._pieces(10, 12) == 1
+
+
 @pytest.mark.parametrize("algorithm", ["kmeans", "hierarchical"])
 def test_clustering(text_table, algorithm):
     df = text_table(
