@@ -16,6 +16,10 @@ from tabwright.session import cut_lineage
 PREVIEW = 5
 # Scores are compared after rounding to four places.
 ROUNDING = 1e-4
+#: Rows with the least ids that are compared with all rows first: they win the ties.
+PROBE = 256
+#: Rows of a block that meets another one in a task.
+BLOCK = 4 * blocks.MAX_BLOCK
 SUITABLE_NOTE = (
     "Cosine similarity computed successfully. Higher scores indicate more similar rows or items."
 )
@@ -75,8 +79,14 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
     return wide.withColumn("vec", F.transform("vec", lambda x: x / safe)).drop("_norm")
 
 
-def _best_pairs(left: pd.DataFrame, right: pd.DataFrame | None, n: int) -> pd.DataFrame:
-    """The ``n`` best pairs of two blocks (or within one), by rounded score then ids."""
+def _best_pairs(
+    left: pd.DataFrame, right: pd.DataFrame | None, n: int, worst: tuple[float, int] | None = None
+) -> pd.DataFrame:
+    """The ``n`` best pairs of two blocks (or within one), by rounded score then ids.
+
+    ``worst`` is the score and lesser id of the n-th best pair that is known
+    already: of pairs that tie with it, only those with no greater lesser id count.
+    """
     a = blocks.matrix(left["vec"])
     ids_a = left["idx"].to_numpy()
     same = right is None
@@ -87,13 +97,30 @@ def _best_pairs(left: pd.DataFrame, right: pd.DataFrame | None, n: int) -> pd.Da
         scores = np.round(np.clip(a[start : start + tile] @ b.T, -1.0, 1.0), 4)
         if same:
             scores[np.arange(len(b))[None, :] <= np.arange(start, start + len(scores))[:, None]] = -2.0
-        flat = scores.ravel()
-        keep = min(n, flat.size)
-        floor = np.partition(flat, flat.size - keep)[flat.size - keep]
-        hit = np.flatnonzero((flat >= floor) & (flat >= -1.0))
-        x, y = ids_a[start + hit // len(b)], ids_b[hit % len(b)]
-        found = pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "score": flat[hit]})
+        rows = ids_a[start : start + tile]
+        if worst is None:
+            flat = scores.ravel()
+            keep = min(n, flat.size)
+            floor = np.partition(flat, flat.size - keep)[flat.size - keep]
+            x, y = np.nonzero(scores > floor)
+            ties = scores == floor if floor >= -1.0 else np.zeros(scores.shape, dtype=bool)
+        else:
+            x, y = np.nonzero(scores > worst[0])
+            ties = scores == worst[0]
+            ties &= (rows <= worst[1])[:, None] | (ids_b <= worst[1])[None, :]
+        # Of ties the least ids count, so that a block of equal scores is not listed.
+        tx, ty = np.nonzero(ties)
+        if len(tx) > n:
+            less = np.minimum(rows[tx], ids_b[ty])
+            few = less <= np.partition(less, n - 1)[n - 1]
+            tx, ty = tx[few], ty[few]
+        x, y = rows[np.append(x, tx)], ids_b[np.append(y, ty)]
+        score = np.append(scores[scores > (floor if worst is None else worst[0])], np.full(len(tx), floor if worst is None else worst[0]))
+        found = pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "score": score})
         best = pd.concat([best, found]).sort_values(["score", "i", "j"], ascending=[False, True, True]).head(n)
+        if len(best) == n:
+            last = (float(best["score"].iloc[-1]), int(best["i"].iloc[-1]))
+            worst = last if worst is None else max(worst, last, key=lambda w: (w[0], -w[1]))
     return best
 
 
@@ -117,20 +144,25 @@ def top_pairs(vectors: DataFrame, n: int = 10) -> DataFrame:
         return vectors.sparkSession.createDataFrame(
             [], "i bigint, j bigint, left string, right string, score double"
         )
+    order = [F.desc("score"), F.col("i"), F.col("j")]
+    probed, worst, last = _probed(slim, n)
     pivots = blocks.choose_pivots(slim, total)
     assigned = blocks.assign_cells(slim, pivots)
     facts = blocks.cell_facts(assigned, pivots)
     placed = blocks.with_chunk(assigned, facts).select("idx", "vec", "cell", "chunk")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _best_pairs(pdf.sort_values("idx"), None, n)
+        return _best_pairs(pdf.sort_values("idx"), None, n, worst)
 
-    inside = cut_lineage(placed.groupBy("cell", "chunk").applyInPandas(within, _PAIR_SCHEMA))
-    order = [F.desc("score"), F.col("i"), F.col("j")]
+    inside = cut_lineage(placed.groupBy("cell", "chunk").applyInPandas(within, _PAIR_SCHEMA).unionByName(probed).distinct())
     seen = inside.orderBy(*order).limit(n).collect()
-    floor = seen[-1]["score"] - ROUNDING if len(seen) == n else -2.0
-    across = _across_blocks(placed, facts, floor, n)
-    found = inside if across is None else inside.unionByName(across)
+    floor = -2.0
+    if len(seen) == n:
+        worst = (seen[-1]["score"], seen[-1]["i"])
+        # Every pair of a probed row was compared: a pair of later rows does not win a tie.
+        floor = worst[0] + (ROUNDING / 2 - 1e-9 if worst[1] <= last else -ROUNDING)
+    across = _across_blocks(placed, facts, floor, n, worst)
+    found = inside if across is None else inside.unionByName(across).distinct()
     best = found.orderBy(*order).limit(n)
     names = vectors.select("idx", "label")
     # At most n pairs look up their labels.
@@ -142,47 +174,74 @@ def top_pairs(vectors: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def _across_blocks(placed: DataFrame, facts: blocks.Cells, floor: float, n: int) -> DataFrame | None:
-    """Best pairs between different blocks of cell pairs that can reach ``floor``."""
+def _probed(slim: DataFrame, n: int) -> tuple[DataFrame, tuple[float, int] | None, int]:
+    """Best pairs of the rows with the least ids with all rows, the score and lesser id of the n-th, the last such id."""
+    first = slim.orderBy("idx").limit(PROBE).toPandas()
+    last = int(first["idx"].iloc[-1])
+
+    def meet(batches):
+        for batch in batches:
+            later = batch[batch["idx"] > last]
+            if len(later):
+                yield _best_pairs(first, later, n)
+
+    met = slim.mapInPandas(meet, _PAIR_SCHEMA)
+    own = slim.sparkSession.createDataFrame(_best_pairs(first, None, n), _PAIR_SCHEMA)
+    best = cut_lineage(met.unionByName(own).orderBy(F.desc("score"), "i", "j").limit(n))
+    seen = best.orderBy(F.desc("score"), "i", "j").collect()
+    return best, ((seen[-1]["score"], seen[-1]["i"]) if len(seen) == n else None), last
+
+
+def _across_blocks(
+    placed: DataFrame, facts: blocks.Cells, floor: float, n: int, worst: tuple[float, int] | None
+) -> DataFrame | None:
+    """Best pairs between different chunks of cell pairs that can reach ``floor``.
+
+    Chunks are laid together to blocks of BLOCK rows, so that a row is copied once
+    for every block it meets and not for every cell.
+    """
     length = np.sqrt((facts.pivots**2).sum(1))
     reach = facts.radius
-    # x.y <= p.q + |p| ry + |q| rx + rx ry for x, y within rx, ry of p, q.
-    bound = (
+    # x.y <= p.q + |p| ry + |q| rx + rx ry for x, y within rx, ry of p, q, and 1 at most.
+    bound = np.minimum(
         facts.pivots @ facts.pivots.T
         + np.outer(length, reach)
         + np.outer(reach, length)
-        + np.outer(reach, reach)
+        + np.outer(reach, reach),
+        1.0 + 1e-9,
     )
-    pairs = []
-    for a in range(len(facts.pivots)):
-        for b in range(a, len(facts.pivots)):
-            alive = facts.rows[a] > 0 and facts.rows[b] > 0 and bound[a, b] >= floor
-            if alive and (a != b or facts.chunks[a] > 1):
-                pairs.append((a, b, int(facts.chunks[a]), int(facts.chunks[b])))
-    if not pairs:
+    alive = (bound >= floor) & (facts.rows > 0)[:, None] & (facts.rows > 0)[None, :]
+    cell = np.repeat(np.arange(len(facts.pivots)), facts.chunks)
+    begin = np.cumsum(np.append(0, facts.chunks))
+    filled = np.cumsum(facts.rows[cell] / facts.chunks[cell])
+    block = (filled // BLOCK).astype(int)
+    meets = np.zeros((block.max() + 1, block.max() + 1), dtype=bool)
+    for u in range(len(cell)):
+        v = u + 1 + np.flatnonzero(alive[cell[u], cell[u + 1 :]])
+        meets[block[u], block[v]] = True
+    if not meets.any():
         return None
-    # At most MAX_PIVOTS squared rows.
-    plan = F.broadcast(placed.sparkSession.createDataFrame(pairs, "a int, b int, na int, nb int"))
-    key = ["a", "ka", "b", "kb"]
-    different = (F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb"))
-    left = (
-        placed.join(plan, F.col("cell") == F.col("a"))
-        .select("idx", "vec", "a", F.col("chunk").alias("ka"), "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("kb"))
-        .filter(different)
-    )
-    right = (
-        placed.join(plan, F.col("cell") == F.col("b"))
-        .select("idx", "vec", "a", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ka"), "b", F.col("chunk").alias("kb"))
-        .filter(different)
-        .toDF("idx", "vec", *(f"r_{k}" for k in key))
-    )
+    spark = placed.sparkSession
+    # One row per chunk and per pair of blocks.
+    units = F.broadcast(spark.createDataFrame(
+        [(int(c), int(u - begin[c]), u, int(block[u])) for u, c in enumerate(cell)], "of int, part int, unit int, block int"
+    ))
+    plan = F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b in zip(*np.nonzero(meets))], "a int, b int"))
+    rows = placed.join(units, (F.col("cell") == F.col("of")) & (F.col("chunk") == F.col("part"))).select("idx", "vec", "unit", "block")
+    left = rows.join(plan, F.col("block") == F.col("a")).select("idx", "vec", "unit", "a", "b")
+    right = rows.join(plan, F.col("block") == F.col("b")).select("idx", "vec", "unit", "a", "b").toDF("idx", "vec", "unit", "r_a", "r_b")
 
     def between(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"i": [], "j": [], "score": []})
-        return _best_pairs(l, r, n)
-
-    return left.groupBy(*key).cogroup(right.groupBy(*(f"r_{k}" for k in key))).applyInPandas(between, _PAIR_SCHEMA)
+        best = [pd.DataFrame({"i": [], "j": [], "score": []})]
+        if len(l) and len(r):
+            theirs = list(r.groupby("unit"))
+            for u, mine in l.groupby("unit"):
+                open_units = [rows for v, rows in theirs if v > u and alive[cell[u], cell[v]]]
+                if open_units:
+                    best.append(_best_pairs(mine, pd.concat(open_units), n, worst))
+        return pd.concat(best).sort_values(["score", "i", "j"], ascending=[False, True, True]).head(n)
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("r_a", "r_b")).applyInPandas(between, _PAIR_SCHEMA)
 
 
 def matrix_preview(vectors: DataFrame, size: int = PREVIEW) -> DataFrame:

@@ -271,3 +271,34 @@ def test_isolation_forest(spark):
     got = plugins.anomaly_flags(df, ["a", "b"], "i")
     flagged = {r["i"] for r in got.filter("anomaly").collect()}
     assert len(flagged) == 10 and {0, 1, 2, 3, 4} <= flagged
+
+
+def test_top_pairs_of_equal_scores(spark, monkeypatch):
+    """Rows of nearly one direction: all pairs score 1.0, the least ids win, and no blocks of later rows meet."""
+    monkeypatch.setattr(similarity, "PROBE", 8)
+    monkeypatch.setattr(blocks, "MAX_BLOCK", 16)
+    monkeypatch.setattr(blocks, "ROWS_PER_PIVOT", 16)
+    met = []
+    real = similarity._across_blocks
+    monkeypatch.setattr(similarity, "_across_blocks", lambda *a: met.append(real(*a)) or met[-1])
+    rows = [(i, f"r{i}", [1.0, 1e-3 + 1e-6 * ((i * 37) % 101)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "idx bigint, label string, vec array<double>")
+    got = [(r["i"], r["j"], r["score"]) for r in similarity.top_pairs(df, 5).orderBy(F.desc("score"), "i", "j").collect()]
+    assert got == [(0, j, 1.0) for j in range(1, 6)] and met == [None]
+
+
+def test_top_pairs_that_later_rows_win(spark, monkeypatch):
+    """The best pairs hold no probed row, and tie."""
+    monkeypatch.setattr(similarity, "PROBE", 4)
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "MAX_BLOCK", 8)
+    monkeypatch.setattr(blocks, "ROWS_PER_PIVOT", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    x[40:44] = x[30:34] * 2 + 1e-9
+    df = spark.createDataFrame([(i, f"r{i}", v.tolist()) for i, v in enumerate(x)], "idx bigint, label string, vec array<double>")
+    u = x / np.sqrt((x**2).sum(1))[:, None]
+    s = np.round(np.clip(u @ u.T, -1, 1), 4)
+    want = sorted(((-s[i, j], i, j) for i in range(60) for j in range(i + 1, 60)))[:7]
+    got = [(-r["score"], r["i"], r["j"]) for r in similarity.top_pairs(df, 7).orderBy(F.desc("score"), "i", "j").collect()]
+    assert got == want
