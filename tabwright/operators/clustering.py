@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import ceil, sqrt
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators.features import prepare, standardise
 from tabwright.plans import blocks
+from tabwright.plans.packed import matrices, packed, summed
 from tabwright.session import cut_lineage
 
 STARTS = 10
@@ -34,16 +36,143 @@ class ClusteringResult:
     silhouette: DataFrame
 
 
-def best_kmeans(rows: DataFrame, k: int, seed: int, starts: int = STARTS, column: str = "scaled"):
-    """The cheapest of several seeded k-means fits."""
-    best = None
-    for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, featuresCol=column, predictionCol="cluster", maxIter=300, tol=1e-4).fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+@dataclass(frozen=True)
+class KMeansFit:
+    """Centres of a k-means fit and the sum of squared distances to them."""
+
+    centres: np.ndarray
+    cost: float
+    column: str = "scaled"
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the number of the nearest centre as ``cluster``."""
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype="int32")
+            return pd.Series(blocks.squared_distances(blocks.matrix(vectors), centres).argmin(axis=1).astype("int32"))
+
+        return rows.withColumn("cluster", nearest(vector_to_array(self.column)))
+
+
+def _candidates(data: DataFrame, width: int, n: int, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows far from each other and how many rows are nearest to each (k-means||, 2012): two rounds of about ``most`` rows."""
+    chosen = (summed(data, lambda x, _: x.sum(axis=0), width) / n)[None, :]
+    for turn in range(2):
+        at = chosen
+
+        def gaps(x: np.ndarray) -> np.ndarray:
+            return np.concatenate([blocks.squared_distances(x[i : i + TILE], at).min(axis=1) for i in range(0, len(x), TILE)])
+
+        spread = float(summed(data, lambda x, _: gaps(x).sum()[None], 1)[0])
+        if spread <= 0:
+            break
+
+        def draw(batches):
+            for batch in batches:
+                for x, _ in matrices(batch):
+                    random = np.random.default_rng([seed, turn, crc32(x.tobytes())])
+                    hit = random.random(len(x)) * spread < most * gaps(x)
+                    if hit.any():
+                        yield pd.DataFrame({"vec": list(x[hit])})
+
+        # Some ``most`` rows, whatever the size of the table.
+        drawn = [r["vec"] for r in data.mapInPandas(draw, "vec array<double>").collect()]
+        if drawn:
+            chosen = np.unique(np.concatenate([chosen, np.asarray(drawn)]) if turn else np.asarray(drawn), axis=0)
+    at = chosen
+
+    def held(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return sum(
+            np.bincount(blocks.squared_distances(x[i : i + TILE], at).argmin(axis=1), minlength=len(at))
+            for i in range(0, len(x), TILE)
+        )
+
+    return chosen, summed(data, held, len(chosen))
+
+
+def _seeded(points: np.ndarray, weights: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """``k`` of the weighted points by k-means++; fewer where there are no more distinct ones."""
+    chosen = [points[random.choice(len(points), p=weights / weights.sum())]]
+    while len(chosen) < k:
+        pull = ((points[:, None, :] - np.asarray(chosen)[None]) ** 2).sum(-1).min(axis=1) * weights
+        if pull.sum() <= 0:
+            break
+        chosen.append(points[random.choice(len(points), p=pull / pull.sum())])
+    return np.asarray(chosen)
+
+
+def kmeans_fits(
+    rows: DataFrame, sizes: list[int], seed: int, starts: int = STARTS, column: str = "scaled",
+    rounds: int = 300, tolerance: float = 1e-4,
+) -> dict[int, KMeansFit]:
+    """The cheapest of several seeded k-means fits for every number of clusters.
+
+    All starts of all sizes move in the same passes over the packed rows; one that
+    has come to rest leaves. Only sums per cluster leave a task.
+    """
+    data = packed(rows.select(vector_to_array(column).alias("vec")), "vec")
+    facts = data.selectExpr("sum(n) AS n", "max(octet_length(data) div n div 8) AS width").first()
+    points, weights = _candidates(data, facts["width"], facts["n"], 2 * max(sizes) * starts, seed)
+    heavy = weights > 0
+    points, weights = points[heavy], weights[heavy]
+    moving = {
+        (k, start): _seeded(points, weights, k, np.random.default_rng([seed, start, k])) for k in sizes for start in range(starts)
+    }
+    resting: set[tuple[int, int]] = set()
+    best: dict[int, KMeansFit] = {}
+    for turn in range(rounds + 1):
+        if turn == rounds:
+            resting = set(moving)
+        runs = list(moving)
+        every = np.concatenate([moving[r] for r in runs])
+        begin = np.cumsum([0, *(len(moving[r]) for r in runs)])
+
+        def kernel(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+            width = x.shape[1]
+            total = np.zeros((len(every), width + 1))
+            cost = np.zeros(len(runs))
+            for i in range(0, len(x), 4 * TILE):
+                part = x[i : i + 4 * TILE]
+                gaps = blocks.squared_distances(part, every)
+                lines = np.arange(len(part))
+                member = np.zeros((len(part), len(every)))
+                for r in range(len(runs)):
+                    own = gaps[:, begin[r] : begin[r + 1]]
+                    near = own.argmin(axis=1)
+                    cost[r] += own[lines, near].sum()
+                    member[lines, begin[r] + near] = 1.0
+                total[:, :width] += member.T @ part
+                total[:, width] += member.sum(axis=0)
+            return np.concatenate([cost, total.ravel()])
+
+        found = summed(data, kernel, len(runs) + len(every) * (facts["width"] + 1))
+        sums = found[len(runs) :].reshape(len(every), -1)
+        for r, run in enumerate(runs):
+            if run in resting:
+                fit = KMeansFit(moving.pop(run), float(found[r]), column)
+                if run[0] not in best or fit.cost < best[run[0]].cost:
+                    best[run[0]] = fit
+                continue
+            part, old = sums[begin[r] : begin[r + 1]], moving[run]
+            # A centre without a row stays where it is.
+            new = np.where(part[:, -1:] > 0, part[:, :-1] / np.maximum(part[:, -1:], 1.0), old)
+            moving[run] = new
+            if ((new - old) ** 2).sum(axis=1).max() <= tolerance**2:
+                resting.add(run)
+        if not moving:
+            break
+    data.unpersist()
     return best
 
 
+def best_kmeans(rows: DataFrame, k: int, seed: int, starts: int = STARTS, column: str = "scaled") -> KMeansFit:
+    """The cheapest of several seeded k-means fits."""
+    return kmeans_fits(rows, [k], seed, starts, column)[k]
+
+
 def total_spread(rows: DataFrame, column: str = "scaled") -> float:
     """Sum of squared distances to the overall mean: the inertia for k = 1."""
     wide = rows.select(F.posexplode(vector_to_array(column)).alias("axis", "v"))
@@ -54,8 +183,9 @@ def total_spread(rows: DataFrame, column: str = "scaled") -> float:
 def elbow(rows: DataFrame, n: int, max_k: int, seed: int, starts: int = STARTS) -> DataFrame:
     """(k, inertia) for k = 1 .. min(max_k, n)."""
     points = [(1, round(total_spread(rows), 4))]
-    for k in range(2, min(max_k, n) + 1):
-        points.append((k, round(float(best_kmeans(rows, k, seed, starts).summary.trainingCost), 4)))
+    sizes = list(range(2, min(max_k, n) + 1))
+    fits = kmeans_fits(rows, sizes, seed, starts) if sizes else {}
+    points += [(k, round(fits[k].cost, 4)) for k in sizes]
     return rows.sparkSession.createDataFrame(points, "k int, inertia double")
 
 

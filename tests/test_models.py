@@ -221,3 +221,26 @@ def test_descend_finds_the_least_point():
             x = run.send((float(scale @ (x - centre) ** 2), 2 * scale * (x - centre)))
     except StopIteration as end:
         assert np.allclose(end.value, centre, atol=1e-2)
+
+
+def test_all_starts_share_their_passes(spark, monkeypatch):
+    """Nine sizes of ten starts take no more passes than the slowest run; each fit is at rest and costs what its centres say."""
+    from pyspark.ml.functions import array_to_vector
+
+    passes = []
+    real = clustering.summed
+    monkeypatch.setattr(clustering, "summed", lambda *a: passes.append(1) or real(*a))
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.1, size=(40, 2)) for c in ((0, 0), (9, 9), (0, 9))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx bigint, v array<double>").select(
+        "idx", array_to_vector("v").alias("scaled")
+    )
+    fits = clustering.kmeans_fits(rows, list(range(2, 11)), 42, starts=10)
+    assert sorted(fits) == list(range(2, 11)) and len(passes) < 60
+    for fit in fits.values():
+        gaps = ((x[:, None] - fit.centres[None]) ** 2).sum(-1)
+        assert fit.cost == pytest.approx(gaps.min(axis=1).sum())
+        for c in range(len(fit.centres)):
+            assert np.allclose(fit.centres[c], x[gaps.argmin(axis=1) == c].mean(axis=0), atol=1e-3)
+    assert fits[3].cost == pytest.approx(sum(((x[k : k + 40] - x[k : k + 40].mean(axis=0)) ** 2).sum() for k in (0, 40, 80)))
+    assert sorted(r["count"] for r in fits[3].transform(rows).groupBy("cluster").count().collect()) == [40, 40, 40]
