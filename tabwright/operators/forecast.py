@@ -246,7 +246,9 @@ def _autoregressive(scoped: DataFrame, ids: list[str], lags: int) -> DataFrame:
     facts = scoped.groupBy(*ids).agg(
         F.max("steps").alias("steps"), F.max("size").alias("size"), F.avg("value").alias("mean")
     ).withColumn("p", F.least(F.lit(lags), F.greatest(F.lit(1), F.col("size") - 2)))
-    centred = scoped.drop("steps", "size").join(facts, ids).withColumn("c", F.col("value") - F.col("mean"))
+    # The two scopes of one series would put half of its rows into one task of a shuffled join.
+    few = facts if len(ids) > 1 else F.broadcast(facts)
+    centred = scoped.drop("steps", "size").join(few, ids).withColumn("c", F.col("value") - F.col("mean"))
     lagged = with_lags(centred, ids, "pos", {f"x{k}": ("c", k) for k in range(1, lags + 1)})
     for k in range(1, lags + 1):
         lagged = lagged.withColumn(f"x{k}", F.when(F.col("p") >= k, F.col(f"x{k}")))

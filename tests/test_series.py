@@ -302,3 +302,15 @@ def test_top_pairs_that_later_rows_win(spark, monkeypatch):
     want = sorted(((-s[i, j], i, j) for i in range(60) for j in range(i + 1, 60)))[:7]
     got = [(-r["score"], r["i"], r["j"]) for r in similarity.top_pairs(df, 7).orderBy(F.desc("score"), "i", "j").collect()]
     assert got == want
+
+
+def test_one_series_is_not_dealt_by_scope(spark):
+    """Means of an unkeyed series are broadcast: a shuffle by scope has two tasks with rows, whatever its length."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        scoped = spark.range(40).selectExpr("IF(id % 2 = 0, 'future', 'holdout') AS scope", "id div 2 AS pos", "id * 1.5D AS value", "20L AS size", "5 AS steps")
+        plan = fc._autoregressive(scoped, ["scope"], 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan
