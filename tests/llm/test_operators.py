@@ -638,3 +638,17 @@ def test_top_k_of_awkward_vectors(spark):
 
 def test_tokenizer_files_are_a_parameter():
     assert public_tokenizers.path("word_bpe_49k.json") and _spec("word_bpe_49k.json").startswith("{")
+
+
+@pytest.mark.parametrize("size", [3, 20_000_000])
+def test_windows_that_no_head_verified_meet_their_whole_group(spark, monkeypatch, size):
+    """Strangers in one large group: elections end without a span, and every pair of texts is still linked once."""
+    monkeypatch.setattr(passages, "SLICE", size)
+    monkeypatch.setattr(passages, "PIECE", 5)
+    large = spark.createDataFrame([(7, i, 10 * i) for i in range(12)], "key long, id long, place int")
+    schema = "id long, first_word int, end_word int"
+    linked = lambda spans: sorted((r.other, r.id) for part in passages.rest(large, spans) for r in part.collect())
+    assert linked(spark.createDataFrame([], schema)) == [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    # A verified window asks no more, but answers: text 3 stays a partner of the later ones.
+    left = linked(spark.createDataFrame([(3, 0, 100)], schema))
+    assert left == [(a, b) for a in range(12) for b in range(a + 1, 12) if b != 3]
