@@ -17,6 +17,9 @@ from tabwright.session import cut_lineage
 
 _FOUND = "query bigint, neighbour bigint, gap double"
 QUERY_CHUNK = 4096
+#: Up to this many numbers a row, small cells leave out most of the others: more pivots are taken.
+NARROW = 8
+NARROW_PIVOTS = 2048
 
 
 def _local_nearest(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -29,15 +32,15 @@ def _local_nearest(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> pd.Data
         part = queries.iloc[start : start + 512]
         gaps = np.round(np.sqrt(blocks.squared_distances(blocks.matrix(part["vec"]), b)), 9)
         keep = min(k, len(ids))
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :keep]
+        # No row is sorted whole: only what is as near as its k-th nearest; columns stand in the order of ids.
+        limit = np.partition(gaps, keep - 1, axis=1)[:, keep - 1 : keep]
+        row, column = np.nonzero(gaps <= limit)
+        near = gaps[row, column]
+        order = np.lexsort((column, near, row))
+        row, column, near = row[order], column[order], near[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < keep
         parts.append(
-            pd.DataFrame(
-                {
-                    "query": np.repeat(part["idx"].to_numpy(), keep),
-                    "neighbour": ids[order].ravel(),
-                    "gap": np.take_along_axis(gaps, order, axis=1).ravel(),
-                }
-            )
+            pd.DataFrame({"query": part["idx"].to_numpy()[row[first]], "neighbour": ids[column[first]], "gap": near[first]})
         )
     return pd.concat(parts)
 
@@ -82,12 +85,26 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables have ``idx`` and ``vec``. Ties go to the smaller base id.
     """
-    base = cut_lineage(base.select("idx", F.col("vec").cast("array<double>").alias("vec")))
-    queries = cut_lineage(queries.select("idx", F.col("vec").cast("array<double>").alias("vec")))
+    # Of equal base rows the k least ids alone can be an answer; equal queries have one answer.
+    first = Window.partitionBy("vec").orderBy("idx")
+    wide = base.select("idx", F.col("vec").cast("array<double>").alias("vec"))
+    base = cut_lineage(wide.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k).drop("_k"))
+    asking = cut_lineage(queries.select("idx", F.col("vec").cast("array<double>").alias("vec")))
+    queries = cut_lineage(asking.groupBy("vec").agg(F.min("idx").alias("idx")).select("idx", "vec"))
+    answers = _nearest_distinct(queries, base, k)
+    same = asking.join(queries.select(F.col("idx").alias("of"), F.col("vec").alias("like")), F.col("vec") == F.col("like"))
+    return same.select("idx", "of").join(answers, F.col("of") == F.col("query")).select(
+        F.col("idx").alias("query"), "neighbour", "gap", "rank"
+    )
+
+
+def _nearest_distinct(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """``nearest`` of materialised tables."""
     total = base.count()
     if not total or queries.isEmpty():
         return queries.sparkSession.createDataFrame([], _FOUND + ", rank int")
-    pivots = blocks.choose_pivots(base, total)
+    width = len(base.first()["vec"])
+    pivots = blocks.choose_pivots(base, total, max(NARROW_PIVOTS, blocks.MAX_PIVOTS) if width <= NARROW else None)
     placed = blocks.assign_cells(base, pivots)
     facts = blocks.cell_facts(placed, pivots)
     placed = blocks.with_chunk(placed, facts).select("idx", "vec", "cell", "chunk")
@@ -105,15 +122,16 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
 
     def candidates(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            gap = np.sqrt(blocks.squared_distances(blocks.matrix(batch["vec"]), pivots))
-            open_cell = (gap - radius[None, :] <= batch["limit"].to_numpy()[:, None] + 1e-6) & alive[None, :]
-            open_cell[np.arange(len(batch)), batch["cell"].to_numpy()] = False
-            row, cell = np.nonzero(open_cell)
-            yield pd.DataFrame({"idx": batch["idx"].to_numpy()[row], "vec": batch["vec"].to_numpy()[row], "cell": cell})
-
-    outside = cut_lineage(asked_again.mapInPandas(candidates, "idx bigint, vec array<double>, cell int"))
+            for start in range(0, len(batch), blocks.ASSIGNED):
+                part = batch.iloc[start : start + blocks.ASSIGNED]
+                gap = np.sqrt(blocks.squared_distances(blocks.matrix(part["vec"]), pivots))
+                open_cell = (gap - radius[None, :] <= part["limit"].to_numpy()[:, None] + 1e-6) & alive[None, :]
+                open_cell[np.arange(len(part)), part["cell"].to_numpy()] = False
+                yield pd.DataFrame({"idx": part["idx"], "vec": part["vec"], "cells": [np.flatnonzero(row) for row in open_cell]})
+
+    # Spark copies a query for its cells: a worker holds it once.
+    listed = asked_again.mapInPandas(candidates, "idx bigint, vec array<double>, cells array<int>")
+    outside = cut_lineage(listed.select("idx", "vec", F.explode("cells").alias("cell")))
     more = _match(outside, placed, facts, k)
     return _closest(inside.drop("rank").unionByName(more), k)
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MAX_PIVOTS = 256
 ROWS_PER_PIVOT = 2048
 MAX_BLOCK = 8192
+#: Rows whose distances to all pivots are laid out at once.
+ASSIGNED = 2048
 
 
 @dataclass(frozen=True)
@@ -31,9 +33,9 @@ class Cells:
     chunks: np.ndarray
 
 
-def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """A seeded sample of at most MAX_PIVOTS distinct rows."""
-    wanted = max(1, min(MAX_PIVOTS, ceil(n / ROWS_PER_PIVOT)))
+def choose_pivots(vectors: DataFrame, n: int, most: int | None = None) -> np.ndarray:
+    """A seeded sample of at most ``most`` (MAX_PIVOTS) distinct rows."""
+    wanted = max(1, min(most or MAX_PIVOTS, ceil(n / ROWS_PER_PIVOT)))
     rows = vectors.select("idx", "vec").orderBy(F.xxhash64("idx"), "idx").limit(wanted).collect()
     return np.unique(np.asarray([r["vec"] for r in rows], dtype=float), axis=0)
 
@@ -54,16 +56,18 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            gaps = squared_distances(matrix(batch["vec"]), pivots)
-            cell = gaps.argmin(axis=1)
-            yield batch.assign(cell=cell, reach=np.sqrt(gaps[np.arange(len(cell)), cell]))
+            for start in range(0, len(batch), ASSIGNED):
+                part = batch.iloc[start : start + ASSIGNED]
+                gaps = squared_distances(matrix(part["vec"]), pivots)
+                cell = gaps.argmin(axis=1)
+                yield part.assign(cell=cell, reach=np.sqrt(gaps[np.arange(len(cell)), cell]))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
     return vectors.mapInPandas(nearest, f"{schema}, cell int, reach double")
 
 
 def cell_facts(assigned: DataFrame, pivots: np.ndarray) -> Cells:
-    """Row count and radius per cell: at most MAX_PIVOTS rows reach the driver."""
+    """Row count and radius per cell: one row per pivot reaches the driver."""
     count, radius = np.zeros(len(pivots), dtype=int), np.zeros(len(pivots))
     for row in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():
         count[row["cell"]], radius[row["cell"]] = row["n"], row["r"]

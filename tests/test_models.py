@@ -244,3 +244,21 @@ def test_all_starts_share_their_passes(spark, monkeypatch):
             assert np.allclose(fit.centres[c], x[gaps.argmin(axis=1) == c].mean(axis=0), atol=1e-3)
     assert fits[3].cost == pytest.approx(sum(((x[k : k + 40] - x[k : k + 40].mean(axis=0)) ** 2).sum() for k in (0, 40, 80)))
     assert sorted(r["count"] for r in fits[3].transform(rows).groupBy("cluster").count().collect()) == [40, 40, 40]
+
+
+def test_nearest_of_many_equal_rows(spark, monkeypatch):
+    """Few distinct rows, each many times: ties go to the least ids, and every copy of a query has its answer; copies are not compared."""
+    seen = []
+    real = neighbours._nearest_distinct
+    monkeypatch.setattr(neighbours, "_nearest_distinct", lambda q, b, k: seen.append((q.count(), b.count())) or real(q, b, k))
+    monkeypatch.setattr(blocks, "ROWS_PER_PIVOT", 4)
+    x = np.array([(i % 7, i % 3) for i in range(420)], dtype=float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx bigint, vec array<double>")
+    got = {}
+    for r in neighbours.nearest(rows.filter("idx % 5 = 0"), rows.filter("idx % 5 != 0"), 3).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
+    base = [j for j in range(420) if j % 5]
+    for q in range(0, 420, 5):
+        want = sorted(base, key=lambda j: (round(float(np.sqrt(((x[q] - x[j]) ** 2).sum())), 9), j))[:3]
+        assert [j for _, j in sorted(got[q])] == want
+    assert len(got) == 84 and seen == [(21, 63)]
