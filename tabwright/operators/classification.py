@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
     NaiveBayes,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 
 from tabwright.operators import hinge, neighbours
 from tabwright.operators.features import prepare, scaler
+from tabwright.operators.forest import RandomForestClassifier
 from tabwright.plans.packed import matrices, packed
 from tabwright.plans.split import split_rows
 

@@ -262,3 +262,65 @@ def test_nearest_of_many_equal_rows(spark, monkeypatch):
         want = sorted(base, key=lambda j: (round(float(np.sqrt(((x[q] - x[j]) ** 2).sum())), 9), j))[:3]
         assert [j for _, j in sorted(got[q])] == want
     assert len(got) == 84 and seen == [(21, 63)]
+
+
+def _noise(spark, rows: int):
+    rng = np.random.default_rng(5)
+    made = [(i, float(a), float(b), "xyz"[k], float(a * 3 + b + e)) for i, (a, b, k, e) in enumerate(
+        zip(rng.integers(0, 400, rows), rng.normal(size=rows), rng.integers(0, 3, rows), rng.normal(size=rows)))]
+    return spark.createDataFrame(made, "i bigint, x1 double, x2 double, group string, y double")
+
+
+def test_passes_of_a_forest_do_not_grow_with_depth(spark):
+    """On noise a deep tree has as many nodes as rows; they are grown where their rows are, not level by level over all rows."""
+    df, jobs, context = _noise(spark, 600), [], spark.sparkContext
+    for depth in (2, 16):
+        context.setJobGroup(f"forest-{depth}", "forest")
+        options = {"max_depth": depth, "trees": 8}
+        classification.run_classification(df, "group", ["x1", "x2"], "i", "random_forest", options=options).metrics.collect()
+        regression.run_regression(df, "y", ["x1", "x2"], "i", "random_forest", options=options).metrics.collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"forest-{depth}")))
+    context.setJobGroup("other", "other")
+    # Two fits of 14 more levels; exchanges that are read as broadcasts make a few jobs more.
+    assert jobs[1] - jobs[0] < 10
+
+
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_forest_of_split_roots_is_the_same(spark, monkeypatch, kind):
+    """Roots too large for a task are split by added histograms first; the forest stays what it was."""
+    from tabwright.operators import forest
+
+    df, seen, kept, real = _noise(spark, 500), [], [], forest._blocks
+    # Draws go by block, so both forests read the same ones.
+    monkeypatch.setattr(forest, "_blocks", lambda rows: kept[0] if kept else kept.append(real(rows)) or kept[0])
+    for size in (forest.NODE_BYTES, 1 << 10):
+        monkeypatch.setattr(forest, "NODE_BYTES", size)
+        options = {"trees": 5, "max_depth": 7, "bins": 32}
+        if kind == "classification":
+            got = classification.run_classification(df, "group", ["x1", "x2"], "i", "random_forest", options=options)
+        else:
+            got = regression.run_regression(df, "y", ["x1", "x2"], "i", "random_forest", options=options)
+            assert got.importance.first()["feature"] == "x1" and got.metrics.first()["r2"] > 0.95
+        seen.append({r["idx"]: round(r["predicted"], 6) if kind == "regression" else r["predicted"] for r in got.predictions.collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 100
+
+
+def test_grown_tree_splits_as_brute_force():
+    from tabwright.operators import forest
+
+    rng = np.random.default_rng(8)
+    cells, sums = rng.integers(0, 9, (60, 2)), rng.integers(0, 4, (60, 3)).astype(float) + [1, 0, 0]
+    tree, _ = forest.grown(cells, sums, 3, 1, 2, [0])
+
+    def impurity(part):
+        return part.sum() - (part**2).sum() / part.sum()
+
+    cost = {
+        (f, b): impurity(sums[cells[:, f] <= b].sum(axis=0)) + impurity(sums[cells[:, f] > b].sum(axis=0))
+        for f in range(2) for b in range(8)
+    }
+    assert cost[tree["feature"][0], tree["bin"][0]] == pytest.approx(min(cost.values()))
+    deep, _ = forest.grown(cells, sums, 3, 16, 2, [0])
+    for cell in np.unique(cells, axis=0):
+        own = sums[(cells == cell).all(axis=1)].sum(axis=0)
+        assert deep["value"][forest.route(deep, cell[None])[0]] == pytest.approx(own / own.sum())
