@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells
+from tabwright.plans.parallel import spread
 
 #: Registers of the distinct sketch, as a power of two: a standard error of 1.04 / sqrt(2 ** 12), or 1.6 %.
 DISTINCT_BITS = 12
@@ -37,10 +38,15 @@ def profile_state(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     in no moment, extreme or quantile. Columns may have any names; an empty
     table gives states of zero rows.
     """
+    names = list(df.columns if columns is None else columns)
+    fields = [cells.field_of(df, name) for name in names]
+    # A cell is read once for all its sketches: an aggregate works its argument out by itself.
+    read = spread(df.select(*(cells.column_ref(name) for name in dict.fromkeys(f.name for f in fields)))).select(
+        *(cells.text_of(f).alias(f"t{i}") for i, f in enumerate(fields)), *(cells.number_of(f).alias(f"n{i}") for i, f in enumerate(fields))
+    )
     states = []
-    for name in df.columns if columns is None else columns:
-        field = cells.field_of(df, name)
-        text, number = cells.text_of(field), cells.number_of(field)
+    for i, name in enumerate(names):
+        text, number = F.col(f"t{i}"), F.col(f"n{i}")
         number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
         followed = F.call_function("approx_top_k_accumulate", _short(text), F.lit(FOLLOWED_CELLS))
         states.append(
@@ -52,7 +58,7 @@ def profile_state(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 F.kll_sketch_agg_double(number, QUANTILE_SIZE).alias("quantiles"), followed.alias("frequent"),
             )
         )
-    return df.agg(F.array(*states).alias("states")).select(F.inline("states"))
+    return read.agg(F.array(*states).alias("states")).select(F.inline("states"))
 
 
 def merge_states(states: DataFrame) -> DataFrame:

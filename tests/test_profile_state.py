@@ -65,3 +65,13 @@ def test_awkward_cells(spark, tmp_path):
     assert len(none) == 4 and all(r["row_count"] == 0 and r["mean"] is None for r in none)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         profile_state.stored_states(spark, str(tmp_path), ["x", "unknown"]).count()
+
+
+def test_cells_are_read_once_and_by_all_cores(spark, tmp_path):
+    """One file comes as one task; its cells are dealt out, and no sketch works a cell out again."""
+    spark.createDataFrame([(i, f" {i} ") for i in range(50)], "i int, word string").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    states = profile_state.profile_state(spark.read.parquet(f"{tmp_path}/rows"))
+    lines = str(states._jdf.queryExecution().optimizedPlan().toString()).split("\n")
+    assert any("Repartition" in line for line in lines)
+    assert not any("trim(" in line for line in lines if "Aggregate" in line)
+    assert {r["column"]: r["n"] for r in states.collect()} == {"i": 50, "word": 50}
