@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,41 @@ _PARTED = (
 )
 PARTED_RULES = tuple(rule for _, _, rule in _PARTED)
 
+# What every text holds for which a rule can be true, for a linear matcher that knows
+# white space and letter case of ASCII alone: white space is any control character or
+# one beyond ASCII, and texts with letters that fold to ASCII ones are always candidates.
+_GAP = r"[\x00-\x20\x{80}-\x{10ffff}]"
+_FOLDED = r"[\x{130}\x{131}\x{17f}\x{212a}]"
+_CANDIDATES = {
+    "control": r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{a0}\x{ad}\x{250}-\x{10ffff}]",
+    "script": rf"(?i:<{_GAP}*(?:script|iframe|object|embed)|javascript{_GAP}*:|on(?:error|click){_GAP}*=)|{_FOLDED}",
+    "formula": rf"(?:^|[,\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}])(?:{_GAP}|[\"'])*[=+\-@]",
+    "command": rf"(?i:cmd\.exe|powershell|bash{_GAP}+-i|nc{_GAP}+-e|(?:wget|curl){_GAP})|{_FOLDED}",
+    "url": rf"(?i:https?://)|{_FOLDED}",
+    "base64": r"[A-Za-z0-9+/]{80}",
+}
+
+
+def candidate_rules(text: Column) -> Column:
+    """The rules of ``_CANDIDATES`` that may be true for a text, as bits; the others are false or, for a null text, null."""
+
+    @F.arrow_udf("int")
+    def bits(texts: pa.Array) -> pa.Array:
+        found = pa.array([0] * len(texts), pa.int32())
+        for k, pattern in enumerate(_CANDIDATES.values()):
+            hit = pc.match_substring_regex(texts, pattern).cast(pa.int32())
+            found = pc.bit_wise_or(found, pc.multiply(hit, pa.scalar(1 << k, pa.int32())))
+        return found
+
+    # Bytes that are no text are left to the rules.
+    return F.when(F.is_valid_utf8(text), bits(text)).otherwise((1 << len(_CANDIDATES)) - 1)
+
+
+def where_candidate(bits: Column, rule: str, value: Column, other: Column | None = None) -> Column:
+    """``value``, worked out only where ``candidate_rules`` names the rule."""
+    no = F.lit(False) if other is None else other
+    return F.when(bits.bitwiseAND(1 << list(_CANDIDATES).index(rule)) != 0, value).otherwise(no)
+
 
 def blank_line(line: Column) -> Column:
     return line.rlike(r"(?U)^\s*\z")
@@ -110,7 +147,8 @@ def has_base64_run(text: Column) -> Column:
 
 def has_long_line(text: Column) -> Column:
     """Any line above LONG_LINE characters; short texts skip the line split."""
-    lengths = F.transform(F.split(text, rf"\r\n|[{_LINE_BREAKS}]"), F.length)
+    # That "\r\n" ends two lines here makes none longer.
+    lengths = F.transform(F.split(text, rf"[{_LINE_BREAKS}]"), F.length)
     return (F.length(text) > LONG_LINE) & (F.array_max(lengths) > LONG_LINE)
 
 

@@ -23,9 +23,9 @@ def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, val
           fault: Column | None = None) -> DataFrame:
     """Keys, status, issues, risk_score, recommended_action and file_hash per row.
 
-    Every rule is evaluated once into a flag column; a ``fault`` (why the text is
-    not there), name, null-byte and encoding faults block the unit, and its later
-    rules are not run.
+    Every rule is evaluated once into a flag column, and its pattern is only tried
+    on texts that may match; a ``fault`` (why the text is not there), name,
+    null-byte and encoding faults block the unit, and its later rules are not run.
     """
     flags = df.select(*keys, text.alias("_text"), file_hash.alias("file_hash"),
         (rules.filename_issue(name) if name is not None else F.lit(None).cast("string")).alias("_name"),
@@ -33,20 +33,24 @@ def _scan(df: DataFrame, keys: list[str], text: Column, name: Column | None, val
         (fault if fault is not None else F.lit(None).cast("string")).alias("_fault"),
     ).withColumn("_null", rules.has_null_byte(F.col("_text")))
     stopped = F.col("_fault").isNotNull() | F.col("_name").isNotNull() | F.col("_null")
-    flags = flags.withColumn(
-        "_control", F.when(~stopped & F.col("_valid"), rules.unprintable_share(F.col("_text")) > rules.CONTROL_SHARE)
-    )
+    flags = flags.withColumn("_may", rules.candidate_rules(F.col("_text")))
+
+    def tried(rule: str, value: Column) -> Column:
+        return rules.where_candidate(F.col("_may"), rule, value)
+
+    crowded = tried("control", rules.unprintable_share(F.col("_text")) > rules.CONTROL_SHARE)
+    flags = flags.withColumn("_control", F.when(~stopped & F.col("_valid"), crowded))
     blocked = stopped | ~F.col("_valid") | F.coalesce("_control", F.lit(False))
     flags = flags.withColumn("_blocked", blocked)
     body = F.when(~F.col("_blocked"), F.col("_text"))
     checked = flags.select(
         *keys, "file_hash", "_fault", "_name", "_valid", "_null", "_control", "_blocked",
         rules.has_long_line(body).alias("_long"),
-        rules.has_script(body).alias("_script"),
-        rules.formula_kind(body).alias("_formula"),
-        rules.has_command(body).alias("_command"),
-        rules.has_url(body).alias("_url"),
-        rules.has_base64_run(body).alias("_base64"),
+        tried("script", rules.has_script(body)).alias("_script"),
+        rules.where_candidate(F.col("_may"), "formula", rules.formula_kind(body), F.lit(None).cast("string")).alias("_formula"),
+        tried("command", rules.has_command(body)).alias("_command"),
+        tried("url", rules.has_url(body)).alias("_url"),
+        tried("base64", rules.has_base64_run(body)).alias("_base64"),
     )
     return _records(checked, keys)
 

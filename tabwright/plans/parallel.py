@@ -10,9 +10,15 @@ def spread(df: DataFrame) -> DataFrame:
 
     Such an input arrives in fewer tasks than there are cores. Anything larger
     already has enough splits and is left alone, so the extra shuffle is bounded
-    by cores x split size.
+    by cores x split size. Rows that were dealt out before, and have only been
+    projected or filtered since, are not dealt out again.
     """
     spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.nodeName().startswith("Repartition"):
+        return df
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import content_rules as rules
 from tabwright.operators import scan
+from tabwright.plans.parallel import spread
 from tabwright.sources.tables import table
 
 
@@ -25,7 +26,9 @@ def risky_documents(spark, folder):
         F.col("source"), F.lit("_"), key.cast("string"),
         F.when(key % 17 == 0, ".exe.csv").when(key % 19 == 0, "/x.csv").otherwise(".csv"),
     )
-    return table(spark, folder, "documents").select(
+    # The stored columns are dealt out, not the longer texts made of them.
+    stored = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return stored.select(
         key, "source", F.concat(F.col("text"), tail).alias("text"), name.alias("name")
     )
 

@@ -103,3 +103,35 @@ def test_a_file_that_was_not_read_is_blocked(spark, tmp_path, monkeypatch):
     assert got["large.csv"].risk_score == 100 and got["small.csv"].status == "safe"
     bare = {r.path[-9:]: r for r in scan.scan_files(files.drop("issue")).collect()}
     assert bare["large.csv"].status == "blocked" and bare["large.csv"].issues == [scan.UNREAD]
+
+
+def test_patterns_tried_on_candidates_alone_find_the_same(spark):
+    """Texts of pieces that match, nearly match, fold to ASCII or hold odd white space: no rule loses a text, and plain ones are no candidates."""
+    rng = random.Random(4)
+    pieces = [
+        "<", "script", "SCR\u0130PT", "\u017fcript", "ifr\u0061me", "object", "embed", "javascript", "javascr\u0131pt", ":", "on", "error", "cl\u0131c\u212a", "onclic\u212a", "=",
+        "cmd.exe", "powershell", "power\u017fhell", "bash", "ba\u017fh", "-i", "nc", "-e", "wget", "curl", "http://", "https://", "HTTP\u017f://", "x",
+        "A" * 79, "B" * 80, "+/" * 40, "==", ",", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\u2028", "\u00a0", "\u3000", " ", "\t", "\"", "'", "+", "-", "@",
+        "hyperlink", "import\u212aml", "\u0009", "\u00ad", "\u200b", "\ue000", "\u0378", "\U000e0001", "é", "中", "😀",
+    ]
+    made = ["", None, "plain words alone."] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(6000)]
+    text, bits = F.col("t"), F.col("bits")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string").withColumn("bits", rules.candidate_rules(text))
+    whole = {
+        "control": rules.unprintable_share(text) > 0, "script": rules.has_script(text), "formula": rules.formula_kind(text),
+        "command": rules.has_command(text), "url": rules.has_url(text), "base64": rules.has_base64_run(text),
+    }
+    for rule, value in whole.items():
+        other = F.lit(None).cast("string") if rule == "formula" else None
+        found = rows.select(value.alias("want"), rules.where_candidate(bits, rule, value, other).alias("got"))
+        assert found.where("want IS NOT NULL AND NOT want <=> got").count() == 0
+        assert found.where("got = want").count() > 50
+    assert rows.where("i = 2").first()["bits"] == 0
+
+
+def test_rows_are_dealt_out_once(spark):
+    from tabwright.plans.parallel import spread
+
+    dealt = spread(spark.range(10).toDF("i"))
+    again = spread(dealt.where("i > 2").select((F.col("i") + 1).alias("j")))
+    assert str(again._jdf.queryExecution().optimizedPlan().toString()).count("Repartition") == 1
