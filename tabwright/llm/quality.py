@@ -25,7 +25,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import WordCache, whole_text, worker_cache, written
+from tabwright.llm.common import WordCache, release, whole_text, worker_cache, written
 
 #: The scorer is fitted on about this many documents at most, taken by a hash of their text.
 TRAIN_ROWS = 8000
@@ -246,6 +246,9 @@ def judge(docs: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURE
                 else:
                     out.append(1 - model.get(tuple(votes_of(statistics(raw, words))), 0.0) if words else 0.0)
             yield pd.Series(out, dtype="float64")
+        # The worker lives on, idle, beside stages that run no Python and would never free its words.
+        scorer = None
+        release()
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return docs.select(row, score(whole_text(f"`{text}`")).alias("quality")).withColumn(

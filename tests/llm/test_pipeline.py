@@ -57,3 +57,20 @@ def test_packing_holds_every_document(stages):
 
 def test_rows_are_written_between_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_quality_leaves_no_words_in_its_workers(spark):
+    """The next stage runs no Python, so nothing else would free what idle workers hold."""
+    from tabwright.llm import quality
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert written(quality.keep_good(docs), "good").count() > 0
+
+    def held(batches):
+        import sys
+
+        for batch in batches:
+            shelf = sys.modules.get("_tabwright_caches")
+            yield batch.assign(held=int(getattr(shelf, "cache", None) is not None))
+
+    assert spark.range(64).repartition(16).mapInPandas(held, "id long, held int").where("held = 1").count() == 0
