@@ -391,6 +391,54 @@ def test_passages_of_a_family_of_edited_copies(spark):
     assert len(due) > 5 and due <= {r.doc_id for r in passages.repeated_passages(frame).collect()}
 
 
+def test_windows_of_a_key_in_a_cell_are_one(spark):
+    """A phrase said over and over gives a key at most one row per cell; all its places lie between first and last."""
+    rng = np.random.default_rng(5)
+    key, text, place = rng.integers(0, 4, 3000), rng.integers(0, 3, 3000), rng.integers(0, 900, 3000)
+    want = {}
+    for k, t, p in zip(key.tolist(), text.tolist(), place.tolist()):
+        want.setdefault((k, t, p // passages.STEP), []).append(p)
+    found = list(zip(*(f.tolist() for f in passages.by_cell(key, text, place))))
+    assert sorted(found) == sorted((k, t, min(ps), max(ps)) for (k, t, _), ps in want.items())
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(f) for f in passages.by_cell(none, none, none)] == [0] * 4
+    phrase = " ".join([prose(6, 21)] * 60)
+    texts = spark.createDataFrame([(i, f"{prose(60, 22 + i)} {phrase}") for i in range(3)], "id long, text string")
+    shared = passages.shared_windows(texts.select("id", passages.word_hashes(F.col("text")).alias("words")), 46)
+    rows = passages.joint_windows(shared, 46, 5, range(2, 3)).collect()
+    assert rows and len({(r.key, r.id, r.place // passages.STEP) for r in rows}) == len(rows)
+
+
+def _cell_pairs(count):
+    """Pairs of shingle cells that share stretches with edits, stock sentences or repeated phrases, or nothing."""
+    rng = np.random.default_rng(9)
+    for n in range(count):
+        alphabet = int(rng.choice([8, 60, 1 << 30]))
+        one = rng.integers(0, alphabet, rng.integers(46, 285)).astype(np.int32)
+        other = np.concatenate([rng.integers(0, alphabet, 30), one[rng.integers(0, 40) : rng.integers(41, 285)], rng.integers(0, alphabet, 30)])
+        other = other.astype(np.int32)[: passages.STEP + 92]
+        other[rng.integers(0, len(other), rng.integers(0, 30))] = -5
+        yield one, other
+
+
+def test_hopeful_cells_hold_all_that_is_alike(spark):
+    """Cells that leave are alike to no other; strangers who share a stock sentence do leave."""
+    most, hits = passages.tolerated(46, 0.8), 0
+    for one, other in _cell_pairs(1500):
+        own = passages.fewest_own(one, np.setdiff1d(one, other), 46)
+        windows = [one[k : k + 46] for k in range(max(1, len(one) - 45))]
+        assert own == min(len(set(w.tolist()) - set(other.tolist())) for w in windows)
+        if passages.alike(one, other, 46):
+            hits += 1
+            assert own <= most and passages.fewest_own(other, np.setdiff1d(other, one), 46) <= most
+    assert hits > 100
+    stock = list(range(10))
+    rows = [(i, 0, 0, [1000 * i + k for k in range(60)] + stock + [1000 * i + k for k in range(100, 160)]) for i in range(1, 40)]
+    rows += [(50 + i, 3, 530, [70_000 + k for k in range(60)] + stock) for i in range(2)]
+    parts = spark.createDataFrame(rows, "id long, cell int, start int, part array<int>")
+    assert {tuple(r) for r in passages.hopeful(parts, 46, 0.8).collect()} == {(50, 3), (51, 3)}
+
+
 def test_passages_of_awkward_rows(messy, nothing):
     found = passages.repeated_passages(messy).collect()
     assert {frozenset((r.doc_id, r.other_doc_id)) for r in found} == {frozenset((7, 8))}
