@@ -439,6 +439,18 @@ def test_hopeful_cells_hold_all_that_is_alike(spark):
     assert {tuple(r) for r in passages.hopeful(parts, 46, 0.8).collect()} == {(50, 3), (51, 3)}
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """The shuffle of a table that is stored goes with its write, not with the driver's garbage."""
+    from tabwright.llm import common
+
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    stored = common.written(spark.range(5000).groupBy(F.col("id") % 7).count(), "sevens")
+    assert stored.count() == 7 and spark.conf.get(common.CLEANUP) == "false"
+    kept = tracker.shuffleStatuses().size()
+    assert kept <= before + 1  # that of the count alone
+
+
 def test_passages_of_awkward_rows(messy, nothing):
     found = passages.repeated_passages(messy).collect()
     assert {frozenset((r.doc_id, r.other_doc_id)) for r in found} == {frozenset((7, 8))}
