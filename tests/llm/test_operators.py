@@ -712,3 +712,38 @@ def test_windows_that_no_head_verified_meet_their_whole_group(spark, monkeypatch
     # A verified window asks no more, but answers: text 3 stays a partner of the later ones.
     left = linked(spark.createDataFrame([(3, 0, 100)], schema))
     assert left == [(a, b) for a in range(12) for b in range(a + 1, 12) if b != 3]
+
+
+def test_promising_stretches_hold_all_that_is_alike():
+    """Every stretch of enough places with a large enough share of shingles that the other text may hold, and no other place."""
+    rng = np.random.default_rng(8)
+    for one, other in _cell_pairs(300):
+        places = {k for a, b in passages.promising(one, np.setdiff1d(one, other), 46, 0.8) for k in range(a, b + 1)}
+        assert all(set(range(a, b)) <= places for a, b, *_ in passages.alike(one, other, 46))
+    for _ in range(100):
+        part = rng.integers(0, rng.choice([4, 30, 10**6]), rng.integers(1, 50)).astype(np.int32)
+        own = rng.choice(part, len(part) // 3)
+        held = set()
+        for a in range(len(part)):
+            for b in range(a + 12, len(part) + 1):
+                codes = set(part[a:b].tolist())
+                if len(codes - set(own.tolist())) >= 0.8 * len(codes) - 1e-9:
+                    held |= set(range(a, b))
+        assert held == {k for a, b in passages.promising(part, own, 12, 0.8) for k in range(a, b + 1)}
+
+
+def test_rest_asks_only_where_a_lesser_text_may_be_alike(spark):
+    """Strangers who share a stock sentence with equal texts: the pairs left are those of the equal ones, not of all in the group."""
+    stock = [7_000 + k for k in range(20)]
+    rows = [(i, 0, 0, [1000 * i + k for k in range(60)] + stock + [1000 * i + k for k in range(100, 160)]) for i in range(1, 40)]
+    rows += [(50 + i, 0, 0, [90_000 + k for k in range(60)] + stock + [1000 * (50 + i) + k for k in range(60)]) for i in range(3)]
+    parts = spark.createDataFrame(rows, "id long, cell int, start int, part array<int>")
+    hope = passages.chances(parts, 46, 0.8)
+    found = {r.id: (r.early, [tuple(s) for s in r.stretches]) for r in hope.collect()}
+    assert set(found) == {50, 51, 52} and found[50] == (True, []) and not found[52][0]
+    assert found[51][1] == found[52][1] == [(0, 99)]
+    windows = [(i, 70) for i in range(1, 40)] + [(i, place) for i in range(50, 53) for place in (70, 130)]
+    large = spark.createDataFrame([(3, i, place) for i, place in windows], "key long, id long, place int")
+    spans = spark.createDataFrame([(51, 0, 104)], "id long, first_word int, end_word int")
+    linked = lambda hope: sorted((r.other, r.id) for part in passages.rest(large, spans, hope) for r in part.collect())
+    assert linked(hope) == [(50, 52), (51, 52)]
