@@ -747,3 +747,27 @@ def test_rest_asks_only_where_a_lesser_text_may_be_alike(spark):
     spans = spark.createDataFrame([(51, 0, 104)], "id long, first_word int, end_word int")
     linked = lambda hope: sorted((r.other, r.id) for part in passages.rest(large, spans, hope) for r in part.collect())
     assert linked(hope) == [(50, 52), (51, 52)]
+
+
+@pytest.mark.parametrize("size", [1.0, 3e7])
+def test_top_k_blocks_are_packed_rows(spark, size):
+    """Exact scores in 32 and in 64 bits, ties and own ids included; neither lists of ids nor of weights are gathered on a heap."""
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(300, 6)), 1) * size
+    vectors[200:] = vectors[:100]
+    vectors[:, 3] = np.where(rng.random(300) < 0.9, 0.0, vectors[:, 3])
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = topk.top_k(frame, F.col("vec_id") % 7 == 0, k=5, per_candidates=40, per_queries=6)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    weights = np.floor(vectors * 256).astype(np.int64)
+    want = set()
+    for q in range(0, 300, 7):
+        scores = weights @ weights[q]
+        order = [i for i in np.lexsort((np.arange(300), -scores)) if i != q][:5]
+        want |= {(q, rank, int(i), int(scores[i])) for rank, i in enumerate(order, 1)}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_top_k_reads_all_queries_for_a_bounded_number_of_blocks():
+    assert [topk._block_count(n, 8192) for n in (0, 8192, 8193, 786_432)] == [1, 1, 2, 96]
+    assert topk._block_count(3_000_000, 8192) == 96 and topk._block_count(1 << 30, 8192) == 8192
