@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour search between two tables of vectors.
 
 Cells around pivots (Lu et al., 2012): a query first looks into its own cell,
-which bounds its k-th distance, then only into cells whose ball can hold a closer
-row. Both sides of a cell are cut into bounded chunks.
+which bounds its k-th distance, then only into cells whose ball, and whose side of the
+plane between the two pivots, can hold a closer row. Both sides of a cell are cut into bounded chunks. Rows of
+few numbers are parted into small boxes within a chunk, and a query meets those near enough alone.
 """
 
 from __future__ import annotations
@@ -20,29 +21,100 @@ QUERY_CHUNK = 4096
 #: Up to this many numbers a row, small cells leave out most of the others: more pivots are taken.
 NARROW = 8
 NARROW_PIVOTS = 2048
+#: Base rows of a box.
+BOX = 256
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` and ``b``, 9 decimals; of narrow rows by their differences, without cancellation."""
+    if a.shape[1] > NARROW:
+        return np.round(np.sqrt(blocks.squared_distances(a, b)), 9)
+    total = np.zeros((len(a), len(b)))
+    for axis in range(a.shape[1]):
+        total += (a[:, axis, None] - b[None, :, axis]) ** 2
+    return np.round(np.sqrt(total), 9)
+
+
+def _first(row: np.ndarray, column: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest columns of every row, ties to the smaller column."""
+    order = np.lexsort((column, near, row))
+    row, column, near = row[order], column[order], near[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first], near[first]
+
+
+def _nearest_rows(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of ``b``."""
+    parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    keep = min(k, len(b))
+    for start in range(0, len(a), 512):
+        gaps = _gaps(a[start : start + 512], b)
+        # No row is sorted whole: only what is as near as its k-th nearest; columns stand in the order of ids.
+        limit = np.partition(gaps, keep - 1, axis=1)[:, keep - 1 : keep]
+        row, column = np.nonzero(gaps <= limit)
+        row, column, near = _first(row, column, gaps[row, column], keep)
+        parts.append((row + start, column, near))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def boxes(b: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers, in order, of parts of at most ``most`` rows: halved across the widest side, again and again."""
+    todo, done = [np.arange(len(b))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            done.append(np.sort(rows))
+            continue
+        side = np.ptp(b[rows], axis=0).argmax()
+        rows = rows[np.argpartition(b[rows, side], len(rows) // 2)]
+        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    return done
+
+
+def _nearest_in_boxes(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_nearest_rows`` by boxes: a query's nearest box bounds its k-th distance, and only boxes within that are met."""
+    parts = boxes(b, BOX)
+    low, high = (np.stack([f(b[rows], axis=0) for rows in parts]) for f in (np.min, np.max))
+    away = np.zeros((len(a), len(parts)))
+    for axis in range(a.shape[1]):
+        x = a[:, axis, None]
+        away += np.maximum(np.maximum(low[None, :, axis] - x, x - high[None, :, axis]), 0.0) ** 2
+    away = np.sqrt(away)
+    home = away.argmin(axis=1)
+    limit = np.full(len(a), np.inf)
+    found = []
+
+    def meet(asked: np.ndarray, part: int) -> None:
+        row, column, near = _nearest_rows(a[asked], b[parts[part]], k)
+        found.append((asked[row], parts[part][column], near))
+
+    for part in np.unique(home):
+        asked = np.flatnonzero(home == part)
+        meet(asked, part)
+        if len(parts[part]) >= k:
+            np.minimum.at(limit, asked, _kth(*found[-1][::2], len(a))[asked])
+    open_box = away <= limit[:, None] + 1e-6
+    open_box[np.arange(len(a)), home] = False
+    for part in np.flatnonzero(open_box.any(axis=0)):
+        meet(np.flatnonzero(open_box[:, part]), part)
+    return _first(*(np.concatenate(x) for x in zip(*found)), k)
+
+
+def _kth(row: np.ndarray, near: np.ndarray, rows: int) -> np.ndarray:
+    """The largest distance found for every row."""
+    worst = np.zeros(rows)
+    np.maximum.at(worst, row, near)
+    return worst
 
 
 def _local_nearest(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(base):
         return pd.DataFrame({"query": [], "neighbour": [], "gap": []})
     base = base.sort_values("idx")
-    b, ids = blocks.matrix(base["vec"]), base["idx"].to_numpy()
-    parts = []
-    for start in range(0, len(queries), 512):
-        part = queries.iloc[start : start + 512]
-        gaps = np.round(np.sqrt(blocks.squared_distances(blocks.matrix(part["vec"]), b)), 9)
-        keep = min(k, len(ids))
-        # No row is sorted whole: only what is as near as its k-th nearest; columns stand in the order of ids.
-        limit = np.partition(gaps, keep - 1, axis=1)[:, keep - 1 : keep]
-        row, column = np.nonzero(gaps <= limit)
-        near = gaps[row, column]
-        order = np.lexsort((column, near, row))
-        row, column, near = row[order], column[order], near[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < keep
-        parts.append(
-            pd.DataFrame({"query": part["idx"].to_numpy()[row[first]], "neighbour": ids[column[first]], "gap": near[first]})
-        )
-    return pd.concat(parts)
+    a, b, ids = blocks.matrix(queries["vec"]), blocks.matrix(base["vec"]), base["idx"].to_numpy()
+    small = b.shape[1] > NARROW or len(b) <= 4 * BOX
+    row, column, near = (_nearest_rows if small else _nearest_in_boxes)(a, b, k)
+    return pd.DataFrame({"query": queries["idx"].to_numpy()[row], "neighbour": ids[column], "gap": near})
 
 
 def _match(queries: DataFrame, base: DataFrame, facts: blocks.Cells, k: int) -> DataFrame:
@@ -56,9 +128,7 @@ def _match(queries: DataFrame, base: DataFrame, facts: blocks.Cells, k: int) ->
         asked[row["cell"]] = row["count"]
     pieces = np.maximum(1, -(-asked // QUERY_CHUNK))
 
-    def of_cell(numbers):
-        return F.element_at(F.array(*(F.lit(int(x)) for x in numbers)), F.col("cell") + 1)
-
+    of_cell = blocks.of_cell
     spread = queries.select(
         "idx", "vec", "cell",
         F.pmod(F.xxhash64("idx"), of_cell(pieces).cast("bigint")).cast("int").alias("piece"),
@@ -98,6 +168,14 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def _over_the_plane(gap: np.ndarray, cell: np.ndarray, pivots: np.ndarray, row: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """At least how far rows are from where the ``other`` pivot is nearer than their own, less what the arithmetic may be off."""
+    own = gap[row, cell[row]]
+    apart = np.sqrt(((pivots[cell[row]] - pivots[other]) ** 2).sum(axis=1))
+    size = 1e-13 * ((pivots**2).sum(axis=1).max() + gap[row, other] ** 2)
+    return (gap[row, other] ** 2 - own**2 - size) / np.maximum(2 * apart, 1e-300)
+
+
 def _nearest_distinct(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """``nearest`` of materialised tables."""
     total = base.count()
@@ -105,7 +183,8 @@ def _nearest_distinct(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
         return queries.sparkSession.createDataFrame([], _FOUND + ", rank int")
     width = len(base.first()["vec"])
     pivots = blocks.choose_pivots(base, total, max(NARROW_PIVOTS, blocks.MAX_PIVOTS) if width <= NARROW else None)
-    placed = blocks.assign_cells(base, pivots)
+    # Read three times, and every row takes a distance to each pivot.
+    placed = cut_lineage(blocks.assign_cells(base, pivots))
     facts = blocks.cell_facts(placed, pivots)
     placed = blocks.with_chunk(placed, facts).select("idx", "vec", "cell", "chunk")
     homes = cut_lineage(blocks.assign_cells(queries, pivots))
@@ -125,8 +204,11 @@ def _nearest_distinct(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
             for start in range(0, len(batch), blocks.ASSIGNED):
                 part = batch.iloc[start : start + blocks.ASSIGNED]
                 gap = np.sqrt(blocks.squared_distances(blocks.matrix(part["vec"]), pivots))
-                open_cell = (gap - radius[None, :] <= part["limit"].to_numpy()[:, None] + 1e-6) & alive[None, :]
-                open_cell[np.arange(len(part)), part["cell"].to_numpy()] = False
+                limit, cell = part["limit"].to_numpy(), part["cell"].to_numpy()
+                open_cell = (gap - radius[None, :] <= limit[:, None] + 1e-6) & alive[None, :]
+                open_cell[np.arange(len(part)), cell] = False
+                row, other = np.nonzero(open_cell)
+                open_cell[row, other] = _over_the_plane(gap, cell, pivots, row, other) <= limit[row] + 1e-6
                 yield pd.DataFrame({"idx": part["idx"], "vec": part["vec"], "cells": [np.flatnonzero(row) for row in open_cell]})
 
     # Spark copies a query for its cells: a worker holds it once.

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_PIVOTS = 256
@@ -76,7 +76,10 @@ def cell_facts(assigned: DataFrame, pivots: np.ndarray) -> Cells:
 
 def with_chunk(assigned: DataFrame, cells: Cells, name: str = "chunk") -> DataFrame:
     """Add the chunk of a row within its cell, by hash of the row id."""
-    chunks = F.array(*(F.lit(int(c)) for c in cells.chunks))
-    return assigned.withColumn(
-        name, F.pmod(F.xxhash64("idx"), F.element_at(chunks, F.col("cell") + 1).cast("bigint")).cast("int")
-    )
+    return assigned.withColumn(name, F.pmod(F.xxhash64("idx"), of_cell(cells.chunks).cast("bigint")).cast("int"))
+
+
+def of_cell(numbers: np.ndarray) -> Column:
+    """The number of a row's cell. One literal holds them all, however many cells there are."""
+    listed = F.split(F.lit(",".join(str(int(n)) for n in numbers)), ",").cast("array<int>")
+    return F.element_at(listed, F.col("cell") + 1)

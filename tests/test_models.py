@@ -324,3 +324,38 @@ def test_grown_tree_splits_as_brute_force():
     for cell in np.unique(cells, axis=0):
         own = sums[(cells == cell).all(axis=1)].sum(axis=0)
         assert deep["value"][forest.route(deep, cell[None])[0]] == pytest.approx(own / own.sum())
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_boxes_leave_out_no_neighbour(monkeypatch, width):
+    """Ties and equal rows included, the boxes give what all distances give, and most distances are never worked out."""
+    monkeypatch.setattr(neighbours, "BOX", 8)
+    rng = np.random.default_rng(width)
+    base, asked = np.round(rng.normal(size=(600, width)), 1), np.round(rng.normal(size=(90, width)), 1)
+    parts = neighbours.boxes(base, 8)
+    assert max(map(len, parts)) <= 8 and sorted(np.concatenate(parts).tolist()) == list(range(600))
+    count = []
+    real = neighbours._gaps
+    monkeypatch.setattr(neighbours, "_gaps", lambda a, b: count.append(len(a) * len(b)) or real(a, b))
+    row, column, near = neighbours._nearest_in_boxes(asked, base, 4)
+    assert width > 2 or sum(count) < 90 * 600 / 2
+    gaps = np.round(np.sqrt(((asked[:, None] - base[None]) ** 2).sum(-1)), 9)
+    order = np.argsort(gaps, axis=1, kind="stable")[:, :4]
+    assert (column.reshape(90, 4) == order).all() and (near.reshape(90, 4) == np.take_along_axis(gaps, order, axis=1)).all()
+
+
+def test_few_queries_look_over_the_plane_between_two_pivots(spark, monkeypatch):
+    """Queries far from a cell's side of the plane between the pivots do not go there, though the cell's ball reaches them."""
+    monkeypatch.setattr(blocks, "ROWS_PER_PIVOT", 40)
+    rng = np.random.default_rng(5)
+    base, asked = rng.random((2000, 2)), rng.random((300, 2))
+    to = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx bigint, vec array<double>")
+    met = []
+    real = neighbours._match
+    monkeypatch.setattr(neighbours, "_match", lambda q, *rest: met.append(q.count()) or real(q, *rest))
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in neighbours.nearest(to(asked), to(base), 3).collect()}
+    gaps = np.round(np.sqrt(((asked[:, None] - base[None]) ** 2).sum(-1)), 9)
+    order = np.argsort(gaps, axis=1, kind="stable")
+    assert got == {(q, k + 1): int(order[q, k]) for q in range(300) for k in range(3)}
+    # Balls alone would send a query to some seven other cells.
+    assert met[0] == 300 and met[1] < 3 * 300
