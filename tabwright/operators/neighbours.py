@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.plans import blocks
+from tabwright.plans.blocks import boxes
 from tabwright.session import cut_lineage
 
 _FOUND = "query bigint, neighbour bigint, gap double"
@@ -57,20 +58,6 @@ def _nearest_rows(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def boxes(b: np.ndarray, most: int) -> list[np.ndarray]:
-    """Row numbers, in order, of parts of at most ``most`` rows: halved across the widest side, again and again."""
-    todo, done = [np.arange(len(b))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= most:
-            done.append(np.sort(rows))
-            continue
-        side = np.ptp(b[rows], axis=0).argmax()
-        rows = rows[np.argpartition(b[rows, side], len(rows) // 2)]
-        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
-    return done
-
-
 def _nearest_in_boxes(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_nearest_rows`` by boxes: a query's nearest box bounds its k-th distance, and only boxes within that are met."""
     parts = boxes(b, BOX)

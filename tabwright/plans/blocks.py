@@ -83,3 +83,17 @@ def of_cell(numbers: np.ndarray) -> Column:
     """The number of a row's cell. One literal holds them all, however many cells there are."""
     listed = F.split(F.lit(",".join(str(int(n)) for n in numbers)), ",").cast("array<int>")
     return F.element_at(listed, F.col("cell") + 1)
+
+
+def boxes(b: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers, in order, of parts of at most ``most`` rows: halved across the widest side, again and again."""
+    todo, done = [np.arange(len(b))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            done.append(np.sort(rows))
+            continue
+        side = np.ptp(b[rows], axis=0).argmax()
+        rows = rows[np.argpartition(b[rows, side], len(rows) // 2)]
+        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    return done

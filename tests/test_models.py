@@ -359,3 +359,45 @@ def test_few_queries_look_over_the_plane_between_two_pivots(spark, monkeypatch):
     assert got == {(q, k + 1): int(order[q, k]) for q in range(300) for k in range(3)}
     # Balls alone would send a query to some seven other cells.
     assert met[0] == 300 and met[1] < 3 * 300
+
+
+def test_boxes_of_one_centre_are_added_whole():
+    """Sums, counts and cost are those of all rows, on lattices with ties too; most rows are never laid against the centres."""
+    rng = np.random.default_rng(4)
+    for width, grain in ((2, None), (2, 0), (1, 1), (4, 1)):
+        x = rng.normal(size=(20_000, width))
+        x = x if grain is None else np.round(x, grain)
+        dealt = blocks.boxes(x, 64)
+        x, starts = x[np.concatenate(dealt)], np.cumsum([0, *map(len, dealt[:-1])])
+        centres = x[rng.choice(len(x), 5, replace=False)]
+        total, cost = np.zeros((5, width + 1)), np.zeros(1)
+        left = clustering._add_boxes(clustering.Boxes.of(x, starts), clustering.Boxes.of(x, starts[:: clustering.GROUP]), centres, total, cost)
+        assert width > 2 or len(left) < len(x) / 2
+        clustering._add_rows(left, centres, total, cost)
+        gaps = ((x[:, None] - centres[None]) ** 2).sum(-1)
+        near = blocks.squared_distances(x, centres).argmin(axis=1)
+        assert cost[0] == pytest.approx(gaps.min(axis=1).sum(), rel=1e-9)
+        assert total[:, -1].tolist() == np.bincount(near, minlength=5).tolist()
+        for axis in range(width):
+            assert np.allclose(total[:, axis], np.bincount(near, weights=x[:, axis], minlength=5), atol=1e-7)
+
+
+def test_k_means_passes_read_rows_in_boxes(spark, monkeypatch):
+    """The fits over boxed blocks, small ones too, are those over plain rows; wide rows have no boxes."""
+    from pyspark.ml.linalg import Vectors
+
+    from tabwright.plans import packed
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 2)) + 4 * rng.integers(0, 3, size=(900, 1))
+    rows = spark.createDataFrame([(Vectors.dense(v.tolist()),) for v in x], ["scaled"]).coalesce(1)
+    monkeypatch.setattr(packed, "BLOCK", 300)
+    fits = clustering.kmeans_fits(rows, [2, 3, 4], 42, 2)
+    for k, fit in fits.items():
+        near = ((x[:, None] - fit.centres[None]) ** 2).sum(-1)
+        assert len(fit.centres) == k and fit.cost == pytest.approx(near.min(axis=1).sum(), rel=1e-9)
+        assert np.allclose(fit.centres, [x[near.argmin(axis=1) == c].mean(axis=0) for c in range(k)], atol=1e-3)
+    made = packed.boxed(rows.selectExpr("array(1d, 2d) AS vec")).collect()
+    assert sum(r["n"] for r in made) == 900 and all(len(r["extra"]) for r in made)
+    wide = packed.boxed(spark.range(5).selectExpr("array_repeat(cast(id AS double), 9) AS vec")).collect()
+    assert sum(r["n"] for r in wide) == 5 and not any(len(r["extra"]) for r in wide)
